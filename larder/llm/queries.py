@@ -2,16 +2,90 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.llm import media, packing, pieces, pii, shards, simhash, toxicity, vectors, warc
+from larder.session import shared_folder, table
+
+SHARD_TARGET = 16 * 1024 * 1024
+
+
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
-from larder.llm import simhash
-from larder.session import table
+
+def op4_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.texts_as_media(table(spark, sf_dir, "documents")).drop("declared_type", "actual_type")
 
 
 def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_gph,)}
+def op9_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive, are compacted, and are read through the newest manifest."""
+    store = shards.ShardStore(spark, f"{shared_folder(spark)}/larder-shards-{uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"), max_rows=2_000)
+    version = store.compact(target=SHARD_TARGET)
+    sizes = store.manifest(version).select(F.col("shard").alias("__shard"), F.col("bytes").alias("shard_bytes"), F.col("level").alias("shard_level"))
+    return store.read(version).select("doc_id", F.length("text").cast("long").alias("n_chars"), "__shard").join(sizes, "__shard").select("doc_id", "n_chars", F.col("__shard").alias("shard"), "shard_bytes", "shard_level", F.lit(version).cast("long").alias("version"))
+
+
+def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_hilbert_packing, op2_collision_counting, op3_boosted_pii, op4_distinct_chunks, op5_seekable_warc, op7_signature_sniffing, op8_simhash_gph, op9_tiered_compaction, op10_toxicity_machine)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_collision_counting": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN least c ON c.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id""",
+    "op5_seekable_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+        best AS (SELECT hex, max(page_id) AS best FROM q GROUP BY hex)
+        SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), i ->
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), k ->
+                    (CAST(1 AS BIGINT) << CAST(4 - k AS BIGINT)) * CAST(substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) AS BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN q.page_id = best.best THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN q.page_id = best.best THEN NULL ELSE best.best END AS refers_to
+        FROM (SELECT *, array_to_string(list_transform(range(40), lambda i: lpad(bin(CAST('0x' || substr(hex, CAST(i + 1 AS BIGINT), 1) AS INTEGER)), 4, '0')), '') AS bits FROM q) q
+        JOIN best ON best.hex = q.hex""",
+}
