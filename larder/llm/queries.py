@@ -81,8 +81,8 @@ ORACLE_SQL: dict[str, str] = {
         q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
         best AS (SELECT hex, max(page_id) AS best FROM q GROUP BY hex)
         SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes,
-            array_to_string(list_transform(range(32), i ->
-                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), k ->
+            array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda k:
                     (CAST(1 AS BIGINT) << CAST(4 - k AS BIGINT)) * CAST(substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) AS BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
             CASE WHEN q.page_id = best.best THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN q.page_id = best.best THEN NULL ELSE best.best END AS refers_to

@@ -86,7 +86,7 @@ class ShardStore:
     def plan(self, target: int = TARGET, fanin: int = FANIN) -> DataFrame:
         """shard, bytes, tier and group of each shard to merge. Runs of a tier, in arrival order, fill
         groups of about target bytes; tiers with fewer than fanin runs wait."""
-        tier = F.floor(F.log(F.lit(float(RATIO)), F.greatest(F.col("bytes"), F.lit(1)).cast("double"))).cast("int")
+        tier = F.floor(F.log(float(RATIO), F.greatest(F.col("bytes"), F.lit(1)).cast("double"))).cast("int")
         small = self.manifest().where(F.col("bytes") < target * 3 // 4).withColumn("tier", tier)
         crowd = small.withColumn("runs", F.count("*").over(Window.partitionBy("tier"))).where(F.col("runs") >= fanin)
         order = Window.partitionBy("tier").orderBy("arrival", "shard").rowsBetween(Window.unboundedPreceding, -1)
