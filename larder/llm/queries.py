@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import media, packing, pieces, pii, shards, simhash, toxicity, vectors, warc
+from larder.llm import licenses, media, packing, pieces, pii, shards, simhash, toxicity, vectors, warc
 from larder.session import shared_folder, table
 
 SHARD_TARGET = 16 * 1024 * 1024
@@ -35,6 +35,10 @@ def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_media(table(spark, sf_dir, "documents")).drop("declared_type", "actual_type")
 
@@ -58,7 +62,7 @@ def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_packing, op2_collision_counting, op3_boosted_pii, op4_distinct_chunks, op5_seekable_warc, op7_signature_sniffing, op8_simhash_gph, op9_tiered_compaction, op10_toxicity_machine)
+    for f in (op1_hilbert_packing, op2_collision_counting, op3_boosted_pii, op4_distinct_chunks, op5_seekable_warc, op6_license_compression, op7_signature_sniffing, op8_simhash_gph, op9_tiered_compaction, op10_toxicity_machine)
 }
 
 ORACLE_SQL: dict[str, str] = {
