@@ -1,19 +1,26 @@
-"""Queries over the reference tables, gathered from the modules that define them."""
+"""Queries over the reference's operators, gathered from the modules that bind them."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+MODULES = ("intake", "dedup")
+
+
+def _plans():
+    return [import_module(f"larder.plans.{m}").plan for m in MODULES]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for p in _plans() for name, f in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for p in _plans() for name, sql in p.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["s8_rrf"](spark, sf_dir)
+    """The hybrid search."""
+    return queries()["s11_hybrid_search"](spark, sf_dir)
