@@ -93,9 +93,9 @@ def m8_check_citations(spark, sf_dir):
 
 
 @plan("""SELECT conv_id, CAST(pos - 1 AS INTEGER) AS pos, claims[pos] AS claim FROM (SELECT conv_id, claims, unnest(range(1, least(len(claims), 5) + 1)) AS pos FROM (
-    SELECT conv_id, list_filter(list(substr(text, 1, 20) ORDER BY turn), lambda x: x <> '') AS claims FROM conversations GROUP BY conv_id))""")
+    SELECT conv_id, list_filter(list(text ORDER BY turn), lambda x: x <> '') AS claims FROM conversations GROUP BY conv_id))""")
 def m9_claims_to_verify(spark, sf_dir):
-    turns = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("c")))), lambda x: x["c"]).alias("claims"))
+    turns = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("c")))), lambda x: x["c"]).alias("claims"))
     return cards.claims_to_verify(turns, "conv_id", "claims")
 
 

@@ -16,7 +16,7 @@ def x1_extract_articles(spark, sf_dir):
     return extract.extract_articles(view(spark, sf_dir, "pages"))
 
 
-_OG = """SELECT page_id, '<META  property="OG:title" x content="' || url || '"><meta content=''c' || cast(page_id AS string) || ''' property="og:description"/>' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:image" content=""><meta property="og:image:secure_url" content="https://i/' || cast(page_id AS string) || '">' ELSE '' END || '<meta property="og:title" content="second">' || html AS html FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, html FROM pages WHERE page_id % 5 = 0"""
+_OG = """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE '<META  property="OG:title" x content="' || url || '"><meta content=''c' || cast(page_id AS string) || ''' property="og:description"/>' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:image" content=""><meta property="og:image:secure_url" content="https://i/' || cast(page_id AS string) || '">' ELSE '' END || '<meta property="og:title" content="second">' END || html AS html FROM pages"""
 
 
 @plan(r"""WITH h AS (SELECT page_id, html FROM (""" + _OG + r""")),
@@ -31,7 +31,7 @@ def x2_extract_og(spark, sf_dir):
     return extract.extract_og(spark.sql(_OG))
 
 
-_SRT = """SELECT doc_id, '1' || chr(13) || chr(10) || '00:00:0' || cast(doc_id % 9 AS string) || ',32 --> 00:00:04,960' || chr(10) || '<i>' || substring(text, 1, 30) || '</i>' || chr(10) || '  ' || chr(10) || '2' || chr(10) || '00:01:05.5  --> 00:01:07.250 x' || chr(10) || ' a  b ' || chr(10) || 'c' || chr(10) || chr(10) || 'no arrow' || chr(10) || chr(10) || '3' || chr(10) || '0:02:00,1 --> bad' || chr(10) || 't' || chr(10) || chr(10) || '01:00:00,001 --> 01:00:01,002' || chr(10) || 'a b c' || chr(10) || chr(10) || '01:00:02,001 --> 01:00:03,002' || chr(10) || 'a b d' AS srt FROM documents"""
+_SRT = """SELECT doc_id, '1' || chr(13) || chr(10) || '00:00:0' || cast(doc_id % 9 AS string) || ',32 --> 00:00:04,960' || chr(10) || '<i>' || replace(text, chr(10), ' ') || '</i>' || chr(10) || '  ' || chr(10) || '2' || chr(10) || '00:01:05.5  --> 00:01:07.250 x' || chr(10) || ' a  b ' || chr(10) || 'c' || chr(10) || chr(10) || 'no arrow' || chr(10) || chr(10) || '3' || chr(10) || '0:02:00,1 --> bad' || chr(10) || 't' || chr(10) || chr(10) || '01:00:00,001 --> 01:00:01,002' || chr(10) || 'a b c' || chr(10) || chr(10) || '01:00:02,001 --> 01:00:03,002' || chr(10) || 'a b d' AS srt FROM documents"""
 
 
 @plan(r"""WITH b AS (SELECT doc_id, unnest(range(len(bl))) AS pos, unnest(bl) AS block FROM (SELECT doc_id, string_split_regex(replace(replace(srt, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n') AS bl FROM (""" + _SRT + r"""))),
@@ -46,7 +46,7 @@ def x3_parse_srt(spark, sf_dir):
     return extract.parse_srt(spark.sql(_SRT), "doc_id", "srt")
 
 
-_TRACKS = "SELECT source AS item_id, doc_id AS pos, upper(lang) AS language, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE substring(text, 1, 100) END AS srt FROM documents"
+_TRACKS = "SELECT source AS item_id, doc_id AS pos, upper(lang) AS language, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END AS srt FROM documents"
 
 
 @plan(rf"""SELECT item_id, language, substr(srt, 1, 250000) AS srt FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lower(language) <> 'de', pos) AS n FROM ({_TRACKS}) WHERE regexp_replace(srt, '^\s+|\s+$', '', 'g') <> '') WHERE n = 1""")
@@ -87,7 +87,7 @@ def x8_visual_snippet(spark, sf_dir):
     return view(spark, sf_dir, "frames_v").select("frame_id", T.visual_snippet(F.col("timestamp_ms") * 37, F.col("album_index")).alias("snippet"))
 
 
-_FRAMES = "SELECT item_id, 'Sure:' || chr(10) || 'Frame 0: ' || substring(text, 1, 20) || chr(10) || ' frame #1 -:  (No text) ' || chr(10) || 'Frame 2:' || chr(10) || 'FRAME 3: N/A' || chr(10) || 'Frame 0: x: ' || cast(item_id AS string) || chr(13) || chr(10) || 'Frame 1' || cast(item_id % 10 AS string) || ': end' AS lines FROM benchmark"
+_FRAMES = "SELECT item_id, 'Sure:' || chr(10) || 'Frame 0: ' || replace(text, chr(10), ' ') || chr(10) || ' frame #1 -:  (No text) ' || chr(10) || 'Frame 2:' || chr(10) || 'FRAME 3: N/A' || chr(10) || 'Frame 0: x: ' || cast(item_id AS string) || chr(13) || chr(10) || 'Frame 1' || cast(item_id % 10 AS string) || ': end' AS lines FROM benchmark"
 
 
 @plan(r"""SELECT item_id, frame * 5000 AS timestamp_ms, text FROM (
@@ -101,7 +101,7 @@ def x9_parse_frame_lines(spark, sf_dir):
 
 
 # answers made of conversation turns; every 7th has no braces, every 11th is broken
-_ANSWERS = """SELECT conv_id * 1000 + turn AS response_id, CASE WHEN turn % 7 = 3 THEN 'nothing' WHEN (conv_id + turn) % 11 = 0 THEN '{"answer": ' || '}' ELSE 'Here: {"answer": "' || regexp_replace(substring(text, 1, 40), '[^A-Za-z ]', '') || ' ", "evidence_coverage": "' || CASE WHEN turn % 2 = 0 THEN 'FULL' ELSE 'most' END || '", "claims": ["a ", "", "b' || cast(turn AS string) || '"], "citations": [{"modality": "Speech", "timestamp_ms": ' || cast(turn - 1 AS string) || ', "quote": " q"}, {"modality": "smell", "quote": "x"}, {"modality": "ocr", "quote": "  "}]} bye' END AS response FROM conversations WHERE role = 'assistant'"""
+_ANSWERS = """SELECT conv_id * 1000 + turn AS response_id, CASE WHEN turn % 7 = 3 THEN 'nothing' WHEN (conv_id + turn) % 11 = 0 THEN '{"answer": ' || '}' ELSE 'Here: {"answer": "' || regexp_replace(text, '[^A-Za-z ]', '') || ' ", "evidence_coverage": "' || CASE WHEN turn % 2 = 0 THEN 'FULL' ELSE 'most' END || '", "claims": ["a ", "", "b' || cast(turn AS string) || '"], "citations": [{"modality": "Speech", "timestamp_ms": ' || cast(turn - 1 AS string) || ', "quote": " q"}, {"modality": "smell", "quote": "x"}, {"modality": "ocr", "quote": "  "}]} bye' END AS response FROM conversations WHERE role = 'assistant'"""
 _ANSWERS_DUCK = _ANSWERS.replace("'[^A-Za-z ]', '')", "'[^A-Za-z ]', '', 'g')")
 
 
@@ -121,7 +121,7 @@ def x10_parse_answers(spark, sf_dir):
     return out.select("response_id", "error", "answer", "evidence_coverage", F.array_join("claims", "|").alias("claims"), cites.alias("citations"))
 
 
-_INTENTS = """SELECT conv_id * 1000 + turn AS response_id, '{"domain": " ' || regexp_replace(substring(text, 1, 60), '[^A-Za-z .]', '') || '", "intent": "", "confidence": "' || CASE WHEN turn % 2 = 0 THEN 'HIGH' ELSE 'sure' END || '", "label": "' || CASE WHEN turn % 3 = 0 THEN '' ELSE 'L ' || cast(turn AS string) END || '"}' AS response FROM conversations"""
+_INTENTS = """SELECT conv_id * 1000 + turn AS response_id, '{"domain": " ' || regexp_replace(text, '[^A-Za-z .]', '') || '", "intent": "", "confidence": "' || CASE WHEN turn % 2 = 0 THEN 'HIGH' ELSE 'sure' END || '", "label": "' || CASE WHEN turn % 3 = 0 THEN '' ELSE 'L ' || cast(turn AS string) END || '"}' AS response FROM conversations"""
 
 
 @plan(rf"""WITH a AS ({_INTENTS.replace("'[^A-Za-z .]', '')", "'[^A-Za-z .]', '', 'g')")}),
@@ -133,10 +133,10 @@ def x10_parse_intents(spark, sf_dir):
     return extract.parse_responses(spark.sql(_INTENTS), "response_id", "response", "intent")
 
 
-@plan("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'category') AS category_slug,
+@plan("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'category') AS category_slug,
     coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'other') AS intent_slug FROM documents""")
 def x11_slugs(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 30)).alias("category_slug"), T.slug(F.col("text"), "_", "other", 40).alias("intent_slug"))
+    return view(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("category_slug"), T.slug(F.col("text"), "_", "other", 40).alias("intent_slug"))
 
 
 _SPEECH = """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN '{"segments": [], "text": " whole ' || cast(item_id AS string) || '"}' ELSE '{"segments": [{"start": ' || cast(item_id AS string) || '.5, "end": ' || cast(item_id + 1 AS string) || '.25, "text": " hi"}, {"start": 9, "text": "  "}, {"text": "no time"}]}' END AS response FROM benchmark"""

@@ -97,7 +97,7 @@ def u7_allowed_asset(spark, sf_dir):
     return intake.allowed_asset(view(spark, sf_dir, "shared_v"), "url", ["example.com", "example.org"]).select("page_id", "allowed")
 
 
-_IPS = "SELECT user_id % 97 AS host, CASE event_id % 9 WHEN 0 THEN '10.' || cast(event_id % 250 AS string) || '.0.1' WHEN 1 THEN '172.' || cast(event_id % 40 AS string) || '.2.3' WHEN 2 THEN 'none' WHEN 3 THEN '2a00:1450::5' ELSE cast(1 + event_id % 220 AS string) || '.' || cast(event_id % 256 AS string) || '.9.9' END AS ip FROM events WHERE event_id % 50 < 9 AND user_id % 97 + event_id % 9 > 40"
+_IPS = "SELECT cast(floor(event_id / 3) AS bigint) AS host, CASE event_id % 9 WHEN 0 THEN '10.' || cast(event_id % 250 AS string) || '.0.1' WHEN 1 THEN '172.' || cast(event_id % 40 AS string) || '.2.3' WHEN 2 THEN 'none' WHEN 3 THEN '2a00:1450::5' ELSE cast(1 + event_id % 220 AS string) || '.' || cast(event_id % 256 AS string) || '.9.9' END AS ip FROM events"
 
 
 @plan(f"""WITH ips AS ({_IPS}),
@@ -159,7 +159,7 @@ def u12_media_kind(spark, sf_dir):
     return intake.media_kind(spark.sql(_UPLOADS), "filename").select("page_id", "kind")
 
 
-_EMAILS = "SELECT item_id, '  ' || substring(text, 1, 40) || '  X ' AS q, CASE item_id % 3 WHEN 0 THEN ' User' || cast(item_id AS string) || '@Example.COM ' WHEN 1 THEN 'no at sign' ELSE 'a@b' END AS email FROM benchmark"
+_EMAILS = "SELECT item_id, '  ' || text || '  X ' AS q, CASE item_id % 3 WHEN 0 THEN ' User' || cast(item_id AS string) || '@Example.COM ' WHEN 1 THEN 'no at sign' ELSE 'a@b' END AS email FROM benchmark"
 
 
 @plan(rf"""SELECT item_id, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS query, CASE WHEN regexp_matches(lower(trim(email)), '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN lower(trim(email)) END AS email FROM ({_EMAILS})""")

@@ -21,9 +21,9 @@ RULES = (
     Rule(("Culture",), (), ("la", "to"), 0.5, True),
 )
 
-_FIELDS = r"""norms AS (SELECT memory_id, segment_id, modality, trim(regexp_replace(lower(content), '[^a-z0-9+.#''_-]+', ' ', 'g')) AS c FROM segments_v WHERE memory_id % 5 <> 3),
+_FIELDS = r"""norms AS (SELECT memory_id, segment_id, modality, trim(regexp_replace(lower(content), '[^a-z0-9+.#''_-]+', ' ', 'g')) AS c FROM segments_v),
     spoken AS (SELECT memory_id, modality AS field, trim(regexp_replace(string_agg(c, ' ' ORDER BY segment_id), '[^a-z0-9+.#''_-]+', ' ', 'g')) AS text FROM norms GROUP BY ALL),
-    mem AS (SELECT memory_id, title, CASE WHEN memory_id % 2 = 0 THEN 'Caption of The ' || title END AS caption, user_id AS creator FROM memories_v WHERE memory_id < (SELECT max(memory_id) FROM segments_v) + 5),
+    mem AS (SELECT memory_id, title, CASE WHEN memory_id % 2 = 0 THEN 'Caption of The ' || title END AS caption, user_id AS creator FROM memories_v),
     base AS (SELECT memory_id, 'title' AS field, title AS text FROM mem UNION ALL SELECT memory_id, 'caption', caption FROM mem UNION ALL SELECT memory_id, 'creator', creator FROM mem
         UNION ALL SELECT memory_id, 'tags', string_agg(tag, ' ' ORDER BY tag) FROM (SELECT DISTINCT memory_id, tag FROM tags_v) GROUP BY memory_id),
     fields AS (SELECT * FROM (SELECT b.memory_id, b.field, trim(regexp_replace(lower(coalesce(b.text, '')), '[^a-z0-9+.#''_-]+', ' ', 'g')) AS text FROM base b WHERE NOT EXISTS (SELECT 1 FROM spoken s WHERE s.memory_id = b.memory_id AND s.field = b.field) UNION ALL SELECT * FROM spoken) WHERE text <> '')"""
@@ -45,11 +45,9 @@ _ASSIGNED = f"""{_SCORES}, assigned AS (SELECT user_id, memory_id, path, true AS
 
 
 def _parts(spark, sf_dir):
-    s = view(spark, sf_dir, "segments_v")
-    last = s.agg(F.max("memory_id").alias("last"))
-    m = view(spark, sf_dir, "memories_v").join(F.broadcast(last), F.col("memory_id") < F.col("last") + 5).select("memory_id", "user_id", "title")
+    m = view(spark, sf_dir, "memories_v").select("memory_id", "user_id", "title")
     items = m.select("memory_id", F.when(F.col("memory_id") % 2 == 0, F.concat(F.lit("Caption of The "), "title")).alias("caption"), F.col("user_id").alias("creator"))
-    return m, items, view(spark, sf_dir, "tags_v"), s.where("memory_id % 5 <> 3")
+    return m, items, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "segments_v")
 
 
 def _scored(spark, sf_dir):
@@ -97,7 +95,7 @@ def t5_category_nodes(spark, sf_dir):
     return taxonomy.category_nodes(_assigned(spark, sf_dir))
 
 
-_EXISTING = "SELECT memory_id, CASE WHEN memory_id % 2 = 0 THEN 'Old/Path' ELSE 'Language/English' END AS path, true AS is_primary, 0.5 AS confidence, CASE WHEN memory_id % 9 = 0 THEN 'manual' ELSE 'rules-v1' END AS source FROM memories_v WHERE memory_id % 3 = 0"
+_EXISTING = "SELECT memory_id, CASE WHEN memory_id % 2 = 0 THEN 'Old/Path' ELSE 'Language/English' END AS path, true AS is_primary, 0.5 AS confidence, CASE WHEN memory_id % 9 = 0 THEN 'manual' ELSE 'rules-v1' END AS source FROM memories_v"
 
 
 @plan(f"""WITH {_SCORES}, e AS ({_EXISTING}), man AS (SELECT memory_id FROM e WHERE source = 'manual')

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intake", "dedup", "extract", "cards", "taxonomy")
+MODULES = ("intake", "dedup", "extract", "cards", "taxonomy", "frames")
 
 
 def _plans():
