@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intake", "dedup", "extract", "cards", "taxonomy", "frames", "library", "usage", "retrieval")
+MODULES = ("intake", "dedup", "extract", "cards", "taxonomy", "frames", "retrieval", "library", "usage", "streams")
 
 
 def _plans():
