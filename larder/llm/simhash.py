@@ -214,4 +214,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     nodes = staged(keys.groupBy("__fp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")), "simhash-nodes")
     groups = connected_components(links(nodes.select("__fp")), "a", "b").select(F.col("node").alias("__fp"), F.col("component").alias("__root"))
     kept = nodes.join(groups, "__fp", "left").groupBy(F.coalesce("__root", "__fp").alias("__root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    # the row numbers are the small side: hashing them spares a sort of whole texts
+    return rows.join(staged(kept, "simhash-kept").hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
