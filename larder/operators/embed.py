@@ -12,6 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 DIM = 1536
 QUERY_BLOCK = 20_000  # queries broadcast at once
@@ -111,6 +112,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
 
 def _nearest(block: pd.DataFrame, corpus: DataFrame, k: int, query_id: str, key: str, scope: str | None, id_type) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast((block[query_id].tolist(), _matrix(block["__v"].tolist()) if len(block) else np.zeros((0, 1)), block[scope].to_numpy() if scope else None))
+    id_arrow, key_arrow = to_arrow_type(id_type), to_arrow_type(corpus.schema[key].dataType)
     schema = corpus.select(F.lit(None).cast(id_type).alias(query_id), F.col(key), F.lit(0.0).alias("distance")).schema
 
     def run(batches):
@@ -131,7 +133,8 @@ def _nearest(block: pd.DataFrame, corpus: DataFrame, k: int, query_id: str, key:
             best_d, best_k = d, keys
         i, j = np.nonzero(np.isfinite(best_d))
         if len(i):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({query_id: [ids[x] for x in i], key: best_k[i, j], "distance": best_d[i, j]}), preserve_index=False)
+            columns = [pa.array([ids[x] for x in i], id_arrow), pa.array(best_k[i, j].tolist(), key_arrow), pa.array(best_d[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, [query_id, key, "distance"])
 
     return corpus.mapInArrow(run, schema)
 

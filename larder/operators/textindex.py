@@ -8,11 +8,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from larder.functions.stem import STOPWORDS, stem
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
