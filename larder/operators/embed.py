@@ -24,24 +24,32 @@ def _grams(text: str) -> list[str]:
     return [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
 
 
+class _Buckets(dict):
+    """Pieces to their bucket; forgets all when it is full."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > KNOWN_GRAMS:
+            self.clear()
+        self[gram] = at = int.from_bytes(hashlib.md5(gram.encode()).digest(), "big") % self.dim
+        return at
+
+
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, embedding): counts of 3- to 5-character pieces in md5 buckets (big-endian, modulo dim), normalized;
     zero for the empty text. Nulls count as empty."""
     own = df.select(F.col(key), F.col(text).alias("__text"))
 
     def run(batches):
-        known: dict[str, int] = {}
+        bucket = _Buckets(dim).__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(k, 256), []
                 for t in part.column("__text").to_pylist():
-                    at = []
-                    for g in _grams(t or ""):
-                        if g not in known:
-                            if len(known) > KNOWN_GRAMS:
-                                known.clear()
-                            known[g] = int.from_bytes(hashlib.md5(g.encode()).digest(), "big") % dim
-                        at.append(known[g])
+                    at = list(map(bucket, _grams(t or "")))
                     v = np.bincount(np.array(at, np.int64), minlength=dim).astype(np.float64)
                     n = np.linalg.norm(v)
                     rows.append((v / n if n else v).astype(np.float32))

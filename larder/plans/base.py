@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.session import spread
+
 #: name: (tables it reads, text)
 VIEWS = {
     "captures_v": (["events"], "SELECT event_id AS capture_id, user_id, ts AS captured_at, CASE event_id % 3 WHEN 0 THEN 'instagram' WHEN 1 THEN 'youtube' ELSE 'web' END AS platform, regexp_extract(props, '[0-9]+', 0) AS platform_item_id, event_type AS capture_source FROM events"),
@@ -21,19 +23,26 @@ VIEWS = {
     "shared_v": (["pages"], "SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'https://www.instagram.com/reel' || CASE WHEN page_id % 4 = 1 THEN 's' ELSE '' END || '/sc_' || cast(page_id AS string) || '/?igsh=abc' WHEN 2 THEN 'youtu.be/vid-' || cast(100 + page_id AS string) || '?si=x' WHEN 3 THEN 'https://m.youtube.com/watch?t=9&v=v' || cast(100000 + page_id AS string) WHEN 4 THEN '  ' || replace(url, 'http://', 'https://') WHEN 5 THEN CASE WHEN page_id % 5 = 0 THEN 'https://instagram.com/user/' || cast(page_id AS string) WHEN page_id % 5 = 1 THEN 'ftp://instagram.com/p/abc' WHEN page_id % 5 = 2 THEN 'https://user:pw@example.com/a' WHEN page_id % 5 = 3 THEN '' ELSE 'https://bad_host..example/' END ELSE url END AS url FROM pages"),
 }
 
+TEXTS = ("documents", "pages")  # heavy per row
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a bound view."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _read(spark, sf_dir, name)
     tables, text = VIEWS[name]
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _read(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(text)
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
 def with_views(sql: str) -> str:
     """The SQL with the views it names in front."""
     used = [v for v in VIEWS if v in sql]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import embed, search, textindex
 from larder.plans.base import Plans, view
+from larder.session import staged
 
 plan = Plans()
 USERS = 20
@@ -68,6 +69,11 @@ def _frames(spark, sf_dir):
     return view(spark, sf_dir, "frames_v").join(_shown(spark, sf_dir), "memory_id")
 
 
+def _index(seg):
+    """The index as the stored table that it is: built once, read by each step."""
+    return staged(textindex.build_index(seg), "index")
+
+
 def _tags(spark, sf_dir):
     return view(spark, sf_dir, "tags_v").drop("user_id").join(_shown(spark, sf_dir), "memory_id")
 
@@ -89,20 +95,20 @@ def s1_english_index(spark, sf_dir):
 @plan(f"WITH {_MATCH} SELECT * FROM match")
 def s2_fts_match(spark, sf_dir):
     seg, q = _segments(spark, sf_dir), _queries(spark, sf_dir)
-    met = textindex.fts_match(q, textindex.build_index(seg))
+    met = textindex.fts_match(q, _index(seg))
     return met.join(seg.select("segment_id", "user_id"), "segment_id").join(q.select("query_id", "user_id"), ["query_id", "user_id"]).select("query_id", "segment_id")
 
 
 @plan(f"WITH {_RANK} SELECT * FROM ranks")
 def s3_fts_rank(spark, sf_dir):
     seg, q = _segments(spark, sf_dir), _queries(spark, sf_dir)
-    return textindex.fts_rank(s2_fts_match(spark, sf_dir), q, textindex.build_index(seg))
+    return textindex.fts_rank(s2_fts_match(spark, sf_dir), q, _index(seg))
 
 
 @plan(f"WITH {_RANK} SELECT query_id, memory_id, segment_id, rank, place FROM fts")
 def s4_fts_branch(spark, sf_dir):
     seg = _segments(spark, sf_dir)
-    return textindex.fts_branch(_queries(spark, sf_dir), seg, textindex.build_index(seg))
+    return textindex.fts_branch(_queries(spark, sf_dir), seg, _index(seg))
 
 
 @plan(f"WITH {_Q}, {_TAGS} SELECT * FROM tagb")
@@ -154,9 +160,11 @@ def s10_assemble_hits(spark, sf_dir):
 def s11_hybrid_search(spark, sf_dir):
     """All four branches: text and vectors of segments, tags, frames."""
     q, seg = _with_visual(spark, sf_dir), view(spark, sf_dir, "segments_v")
-    seg = seg.join(embed.hash_embed(seg, "segment_id", "content", 256), "segment_id")
-    q = q.join(embed.hash_embed(q, "query_id", "q", 256), "query_id")
-    hits = search.hybrid_search(q, view(spark, sf_dir, "memories_v"), seg, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "frames_v"), n=10)
+    index = _index(_segments(spark, sf_dir))
+    # vectors are stored tables too: embedded once, then read by the branch and by its joins
+    seg = seg.join(staged(embed.hash_embed(seg, "segment_id", "content", 256), "segment-vectors"), "segment_id")
+    q = staged(q.join(embed.hash_embed(q, "query_id", "q", 256), "query_id"), "query-vectors")
+    hits = search.hybrid_search(q, view(spark, sf_dir, "memories_v"), seg, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "frames_v"), index, n=10)
     return _flat(hits)
 
 
