@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import licenses, media, packing, pieces, pii, shards, simhash, toxicity, vectors, warc
-from larder.session import shared_folder, table
+from larder.session import shared_folder, spread, table
 
 SHARD_TARGET = 16 * 1024 * 1024
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,24 +27,24 @@ def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.piece_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
+    read = warc.read_bundles(warc.write_bundles(spread(table(spark, sf_dir, "pages"))))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.texts_as_media(table(spark, sf_dir, "documents")).drop("declared_type", "actual_type")
+    return media.texts_as_media(spread(table(spark, sf_dir, "documents"))).drop("declared_type", "actual_type")
 
 
 def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {

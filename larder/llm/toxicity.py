@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 BITS = 18
 FACTORS = 4
-SAMPLE = 12_000
+SAMPLE = 8_000
 MIN_ROWS = 3  # sampled rows that a hashed term needs, else it stays at zero
 SURPRISE = 6.63  # chi-squared that a term needs against the label (one in a hundred by chance)
 EPOCHS = 25
@@ -83,7 +83,7 @@ def fold(doc_id: Column) -> Column:
 def _surprise(rows: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The chi-squared statistic of each term against the label."""
     n, k = len(rows), float(toxic.sum())
-    both = np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=len(seen))
+    both = np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t] or [np.zeros(0, np.int32)]), minlength=len(seen))
     a, b = both, seen - both
     c, d = k - a, (n - k) - b
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * k * (n - k), 1e-9)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     known = own.join(F.broadcast(chosen), "__id").select("toxic", "__text")  # at most `sample` rows are broadcast
     rows = known.mapInArrow(_hashed, "toxic int, terms array<int>").toPandas()
-    terms = [np.asarray(t, np.int64) for t in rows["terms"]]
+    terms = [np.asarray(t, np.int32) for t in rows["terms"]]
     # the order in which rows arrive must not matter
     order = sorted(range(len(terms)), key=lambda i: (terms[i].tobytes(), rows["toxic"].iloc[i]))
     return train([terms[i] for i in order], rows["toxic"].to_numpy(np.float64)[order])
