@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-A candidate block is the run of words around words that license notices use. Its words, in
-lower case and joined by blanks, are compressed alone and once per template, with the template
-as a zstandard raw dictionary; the share of bytes that a dictionary saves ranks the
-templates. The best `WINNERS` are confirmed by exact wording: the differing words
-between the template and the stretch of the block that it aligns with. A template is
-confirmed if all its deciding words (names, version numbers) are there in place and at most
-`DIFFERING` of its words are not; of the confirmed ones that with the fewest differences wins.
+A candidate block is the run of words around words that license notices use. It is read in
+overlapping windows of about twice a template's length, so that other words of the block
+do not weigh. A window's words, in lower case and joined by blanks, are compressed alone and with
+the template as a zstandard raw dictionary. Every template that saves at least `HELD` of its own
+bytes is confirmed by exact wording: the differing words between the template and the stretch of
+the window that it aligns with. A template is confirmed if all its deciding words (names, version
+numbers) are there in place (windows that lack one are not compressed) and at most `DIFFERING` of
+its words are not; of the confirmed ones that with the fewest differences wins, then that which
+saves the larger share of the block.
 
 Texts without any such word never leave the JVM. Texts are scanned whole; a block of more
 than `BLOCK` words is scanned in overlapping parts, so that none is cut where a notice lies.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import zstandard
@@ -53,8 +55,7 @@ TRIGGERS = ("licen[sc]e", "copyright", "permission", "redistribution", "public d
 
 AROUND = 40  # words of a block on each side of a trigger
 BLOCK = 400
-WINNERS = 4
-SAVED = 0.05
+HELD = 0.05  # of a template's bytes: allowed wordings save 0.16 and more (tested)
 DIFFERING = 0.1
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
@@ -69,15 +70,29 @@ def _packer(dictionary: bytes | None) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-@lru_cache(maxsize=1)
-def _templates():
-    return _packer(None), [(name, words_of(text), _packer(" ".join(words_of(text)).encode())) for name, text in TEMPLATES]
-
-
 def deciding(word: str) -> bool:
     return word in NAMES or any(c.isdigit() for c in word)
 
 
+@lru_cache(maxsize=8)
+def _templates(templates: tuple[tuple[str, str], ...]):
+    """The plain packer, the reach (words that the longest wording takes), and of each template:
+    name, words, deciding words, bytes, packer."""
+    for name, text in templates:
+        if not _TRIGGER.search(text):
+            raise ValueError(f"template of {name} holds none of the words that a block starts from")
+    made = []
+    for name, text in templates:
+        words = words_of(text)
+        raw = " ".join(words).encode()
+        made.append((name, words, set(filter(deciding, words)), len(raw), _packer(raw)))
+    return _packer(None), max([AROUND, *(_longest(t[1]) for t in made)]), made
+
+
+def _longest(template: list[str]) -> int:
+    return len(template) + int(DIFFERING * len(template))
+
+
 def differences(template: list[str], words: list[str]) -> tuple[int, int, int, list[str]] | None:
     """(first word, last word + 1, number of differing words, the differences) of the stretch of
     words that the template aligns with best; None where nothing aligns or a deciding word
@@ -100,7 +115,7 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, int, l
     return start, stop, changed, found
 
 
-def blocks_of(text: str) -> list[list[tuple[int, int, str]]]:
+def blocks_of(text: str, around: int = AROUND) -> list[list[tuple[int, int, str]]]:
     """Runs of (start, end, word) around the triggers, in parts of at most BLOCK words."""
     if not _TRIGGER.search(text):
         return []
@@ -113,57 +128,81 @@ def blocks_of(text: str) -> list[list[tuple[int, int, str]]]:
             hits.append(at)
     spans: list[list[int]] = []
     for h in hits:
-        a, b = max(h - AROUND, 0), min(h + AROUND + 1, len(words))
+        a, b = max(h - around, 0), min(h + around + 1, len(words))
         if spans and a <= spans[-1][1]:
             spans[-1][1] = b
         else:
             spans.append([a, b])
-    return [words[k : min(k + BLOCK, b)] for a, b in spans for k in range(a, max(b - AROUND, a + 1), BLOCK - AROUND)]
+    size = max(BLOCK, 2 * around)
+    return [words[k : min(k + size, b)] for a, b in spans for k in range(a, max(b - around, a + 1), size - around)]
 
 
-def scan(text: str | None) -> list[dict]:
+def confirmed(words: list[str], template: tuple, plain: zstandard.ZstdCompressor) -> tuple[int, int, int, list[str]] | None:
+    """The differences, as differences() has them, at the place in the words where the template
+    differs least; None where no wording of it is."""
+    _, own, needed, held, packer = template
+    best = None
+    if not needed.issubset(words):
+        return None
+    # a wording takes at most _longest words, so that one window holds all of it
+    for k in range(0, max(len(words) - _longest(own), 0) + len(own), len(own)):
+        window = words[k : k + len(own) + _longest(own)]
+        if not needed.issubset(window):
+            continue
+        raw = " ".join(window).encode()
+        if len(plain.compress(raw)) - len(packer.compress(raw)) < HELD * held:
+            continue
+        d = differences(own, window)
+        if d is not None and d[2] <= DIFFERING * len(own) and (best is None or d[2] < best[2]):
+            best = (k + d[0], k + d[1], d[2], d[3])
+    return best
+
+
+def scan(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[dict]:
     """The confirmed notices of a text."""
-    plain, templates = _templates()
+    plain, around, made = _templates(templates)
     found: dict[tuple[int, int], dict] = {}
-    for block in blocks_of(text or ""):
+    for block in blocks_of(text or "", around):
         left = block
         while left:  # a block may name several licenses: search on without the words of the last
             words = [w[2] for w in left]
+            met = [(d, t) for t in made if (d := confirmed(words, t, plain)) is not None]
+            if not met:
+                break
             raw = " ".join(words).encode()
             alone = len(plain.compress(raw))
-            ranked = sorted(((1 - len(t[2].compress(raw)) / alone, i) for i, t in enumerate(templates)), key=lambda x: (-x[0], x[1]))
-            best = None
-            for saved, i in ranked[:WINNERS]:
-                if saved < SAVED or (d := differences(templates[i][1], words)) is None or d[2] > DIFFERING * len(templates[i][1]):
-                    continue
-                if best is None or d[2] < best[1][2]:
-                    best = (saved, d, i)
-            if best is None:
-                break
-            saved, (a, b, changed, diff), i = best
+            shares = [1 - len(t[4].compress(raw)) / alone for _, t in met]
+            i = min(range(len(met)), key=lambda i: (met[i][0][2], -shares[i]))
+            (a, b, changed, diff), (name, *_) = met[i]
             place = (left[a][0], left[b - 1][1])
-            found.setdefault(place, {"start": place[0], "end": place[1], "license": templates[i][0], "saved": round(saved, 6), "n_differing": changed, "differing": " ".join(diff)})
+            found.setdefault(place, {"start": place[0], "end": place[1], "license": name, "saved": round(shares[i], 6), "n_differing": changed, "differing": " ".join(diff)})
             left = left[:a] + left[b:]
-    return sorted(found.values(), key=lambda r: (r["start"], r["end"], r["license"]))
+    whole: list[dict] = []  # without wordings that the end of a part cut, which the next part holds whole
+    for r in sorted(found.values(), key=lambda r: (r["n_differing"], r["start"], r["end"])):
+        if not any(r["license"] == o["license"] and r["start"] < o["end"] and o["start"] < r["end"] for o in whole):
+            whole.append(r)
+    return sorted(whole, key=lambda r: (r["start"], r["end"], r["license"]))
 
 
 _ROW = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("n_differing", pa.int64()), ("differing", pa.string())])
 
 
-def _scan(batches):
+def _scan(batches, templates):
     for batch in batches:
         ids, rows = [], []
         for d, text in zip(batch.column("doc_id"), batch.column("__text").to_pylist(), strict=True):
-            for r in scan(text):
+            for r in scan(text, templates):
                 ids.append(d.as_py())
                 rows.append(r)
         found = pa.array(rows, _ROW)
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *(found.field(i) for i in range(_ROW.num_fields))], ["doc_id", *(f.name for f in _ROW)])
 
 
-def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start and end (characters), license, saved (the share of bytes), n_differing and
-    differing (words lost and new) of each confirmed notice."""
+def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc_id, start and end (characters), license, saved (the share of the block's bytes),
+    n_differing and differing (words lost and new) of each confirmed notice. templates: names and
+    texts; each text holds a trigger."""
+    _templates(tuple(templates))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).where(F.col("__text").rlike("(?i)" + "|".join(TRIGGERS)))
     kinds = {"start": "long", "end": "long", "license": "string", "saved": "double", "n_differing": "long", "differing": "string"}
-    return own.mapInArrow(_scan, own.select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items())).schema)
+    return own.mapInArrow(partial(_scan, templates=tuple(templates)), own.select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items())).schema)
