@@ -4,12 +4,14 @@ Base spans follow fixed rules per kind (email, ip, card, phone) and always stay.
 high-recall generators propose overlapping spans: loose numbers, spelled-out emails,
 colon-separated addresses. Each candidate has format features (generator, digits, separators,
 brackets, checksum) and context features (the characters around it, a telling word before it),
-all binned. Candidates that a base rule confirms are the positives.
+all binned. Positives are the candidates that a base rule confirms and those that pass a format
+check of their generator (IPv6 addresses; spelled-out emails that read as an email once
+rewritten). The latter are redacted like base spans, however rare or common they are.
 
 Training needs only the contingency table of the binned features, which is counted over all
 candidates of all texts by one aggregate and has at most `CELLS` rows whatever the corpus;
 boosted trees fit on it exactly as they would on the rows. The model and its Platt calibration
-become one SQL expression. A candidate is redacted if its calibrated probability is at
+become one SQL expression. Any other candidate is redacted if its calibrated probability is at
 least its generator's threshold: the least one whose selected cells reach PRECISION.
 
 Positions come from SQL too: splitting at a pattern and extracting it give the same matches, so
@@ -50,10 +52,16 @@ SIZES = {"email": 5, "ip": 7, "card": 16, "phone": 9}  # the fewest characters o
 
 GENERATORS = {
     "number": r"(?<![0-9])[(]?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+",
-    "spelled": rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
+    "spelled": rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20\.\x20|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)++",
     "colons": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}+(?![0-9A-Za-z:])",
 }
 GENERATOR_GUARDS = {"number": "{t} rlike '[0-9]'", "spelled": r"{t} rlike '@|[\\[(]at[\\])]'", "colons": "contains({t}, ':')"}
+HEX = "[0-9A-Fa-f]{1,4}"
+# the format check of a generator, over c.m: one that passes is personal data, outside the base rules too
+CHECKS = {
+    "spelled": (rf"^{LOCAL}++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)++$", "[A-Za-z]{2}$"),
+    "colons": (rf"^(?:{HEX}(?::{HEX}){{7}}|(?:{HEX}:)++(?::|(?::{HEX})++:?))$",),
+}
 TELLING = "(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|account|iban|ssn|addr|host|ip)"
 FEATURES = {"generator": 3, "digits": 8, "separators": 5, "bracket": 2, "checksum": 2, "before": 5, "after": 5, "telling": 2}
 CELLS = math.prod(FEATURES.values())  # the table's rows are bounded by this product
@@ -88,6 +96,18 @@ def _class_of(char: str) -> str:
     return f"case when {char} is null or {char} = '' then 0 when {char} rlike '[0-9A-Fa-f]' then 1 when {char} rlike '[g-zG-Z_]' then 2 when {char} rlike '[=:\"\\'/#@+-]' then 3 else 4 end"
 
 
+def _checked(name: str, digits: str) -> str:
+    """SQL: whether c.m passes its generator's check."""
+    if name in CHECKS:
+        return " and ".join(f"c.m rlike {_sql(p)}" for p in CHECKS[name])
+    return f"{digits} between 16 and 19 and luhn_check(regexp_replace(c.m, '[^0-9]', ''))"
+
+
+def told(c: str) -> str:
+    """SQL: whether the format check of candidate c alone says personal data."""
+    return f"({c}.generator in ({', '.join(str(i) for i, g in enumerate(GENERATORS) if g in CHECKS)}) and {c}.checksum = 1)"
+
+
 def _candidate(text: str, name: str, number: int) -> str:
     """SQL: the candidates of a generator with their binned features."""
     spans = _zip_names(_found(text, GENERATORS[name], GENERATOR_GUARDS[name], "true"))
@@ -97,7 +117,7 @@ def _candidate(text: str, name: str, number: int) -> str:
         "digits": f"case when {digits} <= 7 then 0 when {digits} <= 9 then 1 when {digits} = 10 then 2 when {digits} <= 12 then 3 when {digits} <= 15 then 4 when {digits} = 16 then 5 when {digits} <= 19 then 6 else 7 end",
         "separators": "case when c.m rlike '^[0-9A-Za-z]+$' then 0 when c.m rlike '^[0-9 -]+$' then 1 when c.m rlike '[.]' and c.m rlike '[()]' then 4 when c.m rlike '[()]' then 3 else 2 end",
         "bracket": "cast(startswith(c.m, '(') or contains(c.m, '[') as int)",
-        "checksum": f"cast({digits} between 16 and 19 and luhn_check(regexp_replace(c.m, '[^0-9]', '')) as int)",
+        "checksum": f"cast({_checked(name, digits)} as int)",
         "before": _class_of(f"if(c.s = 0, '', substring({text}, c.s, 1))"),
         "after": _class_of(f"substring({text}, c.e + 1, 1)"),
         "telling": f"cast(substring({text}, greatest(c.s - 23, 1), least(24, c.s)) rlike {_sql(TELLING)} as int)",
@@ -119,8 +139,8 @@ def with_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 def contingency(found: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
     """(feature bins, candidates, positives) of each cell that occurs, over all texts."""
-    one = found.select(F.explode("__found").alias("c")).select("c.*")
-    rows = one.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("k")).collect()
+    one = found.select(F.explode("__found").alias("c")).select("c", "c.*")
+    rows = one.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum(F.expr(f"cast(c.sure or {told('c')} as int)")).alias("k")).collect()
     return sorted((tuple(r[f] for f in FEATURES), r["n"], r["k"]) for r in rows)
 
 
@@ -219,10 +239,10 @@ _KIND_OF = "case c.generator when 1 then 0 when 2 then 1 else if(c.digit >= 16,
 
 
 def all_spans(found: DataFrame, model: Trees) -> DataFrame:
-    """found with __spans: (k, s, e) of base spans and selected candidates, by kind and start. A
+    """found with __spans: (k, s, e) of base spans and told or selected candidates, by kind and start. A
     candidate that meets a base span adds nothing: the base span covers that place."""
     base = "concat(" + ", ".join(f"transform(__{k}, b -> named_struct('k', {i}, 's', b.s, 'e', b.e))" for i, k in enumerate(KINDS)) + ")"
-    more = f"transform(filter(__found, c -> not c.sure and {model.selected('c')}), c -> named_struct('k', {_KIND_OF}, 's', c.s, 'e', c.e))"
+    more = f"transform(filter(__found, c -> not c.sure and ({told('c')} or {model.selected('c')})), c -> named_struct('k', {_KIND_OF}, 's', c.s, 'e', c.e))"
     return found.withColumn("__spans", F.expr(f"array_sort(array_distinct(concat({base}, {more})))"))
 
 

@@ -88,3 +88,20 @@ def test_no_candidates(spark):
     one = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
     r = pii.find_personal_data(one).first()
     assert (r.n_email, r.spans, r.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_addresses_outside_the_base_rules(spark):
+    """IPv6 addresses and spelled-out emails are found whether they are one or most of their generator's candidates."""
+    odd = ["user [at] host [dot] org", "jo.b(at)mail (dot) example (dot) com", "ann @ mail.example.com", "2001:db8:0:1:1:1:1:1", "2001:db8::ff00:42:8329", "fe80:0:1::"]
+    kinds = ["email"] * 3 + ["ip"] * 3
+    left = ["meet @ home. Then leave", "00:1a:2b:3c:4d:5e", "1::2::3:4", "1:2:3:4", "at 10:11:12:13 on 2024-01-02 10:11:12"]
+    for times in (1, 300):
+        texts = [f"write to {o}. Thanks, {i}" for o in odd for i in range(times)] + [f"see {x} now, {i}" for x in left for i in range(40)] + [f"me{i}@x.org" for i in range(40)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+        for n, t in enumerate(texts[: len(odd) * times]):
+            o = odd[n // times]
+            assert spans[n] == f"{kinds[n // times]}:9:{9 + len(o)}", (t, spans[n])
+        assert not any(spans[n] for n in range(len(odd) * times, len(texts) - 40))
+    clean = pii.redact(df).where("doc_id = 0").first().text
+    assert clean == "write to [EMAIL]. Thanks, 0"
