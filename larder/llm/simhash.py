@@ -32,6 +32,7 @@ MAX_BITS = 4
 PARTS = 4
 WIDTH = 64 // PARTS
 LARGEST = 2  # of a partition's threshold: 137 probes
+MOST_BITS = PARTS * (LARGEST + 1) - 1  # the largest distance that they reach
 PROBE_COST = 2.0  # of sending one probe, in candidates verified
 BLOCK = 65536  # shingles counted at once
 
@@ -152,6 +153,8 @@ def allocate(costs: np.ndarray, total: int) -> np.ndarray:
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints (column __fp, no repeats) that
     differ in at most max_bits bits; a pair may come more than once."""
+    if max_bits > MOST_BITS:
+        raise ValueError(f"thresholds up to {LARGEST} in {PARTS} partitions reach {MOST_BITS} bits, not {max_bits}")
     groups = correlated_partitions(fps)
 
     def index(batches):

@@ -109,3 +109,21 @@ def test_kept_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     groups = {c for _, f, c in want(rows) if c is not None}
     assert sorted(i for i in ids if i is not None) == sorted(groups) and ids.count(None) == 1
+
+
+def test_larger_distances(spark):
+    """Every pair up to the largest distance that the thresholds reach; an error beyond."""
+    import pytest
+
+    rng = np.random.default_rng(4)
+    fps = set()
+    for b in rng.integers(0, 2**63, 20, dtype=np.int64):
+        for _ in range(10):
+            flips = rng.choice(64, rng.integers(0, 9), replace=False)
+            fps.add(int(np.bitwise_xor.reduce([np.int64(b), *[np.int64(np.uint64(1) << np.uint64(f)) for f in flips]])))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f,) for f in fps], "__fp long")
+    exact = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.MOST_BITS}
+    assert {(r.a, r.b) for r in simhash.links(df, simhash.MOST_BITS).collect()} == exact and exact
+    with pytest.raises(ValueError):
+        simhash.links(df, simhash.MOST_BITS + 1)
