@@ -1,7 +1,7 @@
 """S1-S15 over documents, benchmark and embeddings.
 
-Every benchmark item is asked by every user (source) as its first four words, over that user's own segments; its
-vector for the visual branch is that of the embedding with its id.
+Every benchmark item is asked by every user (source) as its first four words (s11: as its whole text and as its
+first word), over that user's own segments; its vector for the visual branch is that of the embedding with its id.
 """
 
 from __future__ import annotations
@@ -57,6 +57,13 @@ def _with_visual(spark, sf_dir):
     return _queries(spark, sf_dir).join(e, "item_id", "left")
 
 
+def _whole_queries(spark, sf_dir):
+    first = F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0)
+    texts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(F.coalesce("text", F.lit("")), F.coalesce(first, F.lit("")))).alias("short", "whole"))
+    asked = _with_visual(spark, sf_dir).drop("q").join(texts, "item_id")
+    return asked.withColumn("query_id", 2 * F.col("query_id") + F.col("short")).withColumnRenamed("whole", "q").drop("short")
+
+
 def _shown(spark, sf_dir):
     return search.visible(view(spark, sf_dir, "memories_v")).select("memory_id", "user_id")
 
@@ -158,13 +165,14 @@ def s10_assemble_hits(spark, sf_dir):
 
 @plan()
 def s11_hybrid_search(spark, sf_dir):
-    """All four branches: text and vectors of segments, tags, frames."""
-    q, seg = _with_visual(spark, sf_dir), view(spark, sf_dir, "segments_v")
+    """All four branches: text and vectors of segments, tags, frames. Every user asks each item twice: as its whole
+    text (even ids), and as its first word (odd ids), as tags are words."""
+    q, seg = _whole_queries(spark, sf_dir), view(spark, sf_dir, "segments_v")
     index = _index(_segments(spark, sf_dir))
     # vectors are stored tables too: embedded once, then read by the branch and by its joins
     seg = seg.join(staged(embed.hash_embed(seg, "segment_id", "content", 256), "segment-vectors"), "segment_id")
     q = staged(q.join(embed.hash_embed(q, "query_id", "q", 256), "query_id"), "query-vectors")
-    hits = search.hybrid_search(q, view(spark, sf_dir, "memories_v"), seg, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "frames_v"), index, n=10)
+    hits = search.hybrid_search(q, view(spark, sf_dir, "memories_v"), seg, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "frames_v"), index)
     return _flat(hits)
 
 

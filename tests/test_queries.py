@@ -55,3 +55,25 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_hybrid_search_is_whole(spark, monkeypatch):
+    """50 rows a branch, whole item texts, and hits by tag."""
+    import inspect
+
+    from larder.operators import search
+    from larder.plans import retrieval
+
+    asked, real = {}, search.hybrid_search
+
+    def kept(*args, **named):
+        bound = inspect.signature(real).bind(*args, **named)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return real(*args, **named)
+
+    monkeypatch.setattr(retrieval.search, "hybrid_search", kept)
+    hits = QUERIES["s11_hybrid_search"](spark, DATA)
+    assert hits.where("contains(evidence, 'TAG=Tag: ')").count() > 0
+    texts = {r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert asked["n"] == 50 and texts <= {r.q for r in asked["queries"].select("q").distinct().collect()}
