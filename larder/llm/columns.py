@@ -19,3 +19,11 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
 def unpacked(rows: DataFrame) -> DataFrame:
     """The columns that packed() took, as they were."""
     return rows.select("own.*")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it (names that differ by case only are one)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

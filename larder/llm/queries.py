@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larder.llm import licenses, media, packing, pieces, pii, shards, simhash, toxicity, vectors, warc
 from larder.session import shared_folder, spread, table
 
-SHARD_TARGET = 16 * 1024 * 1024
+ARRIVALS = 4  # appends that the documents come in, all of them together
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,17 @@ def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive, are compacted, and are read through the newest manifest."""
+    """Documents arrive in parts, are compacted until nothing is due, and are read through the newest manifest."""
     store = shards.ShardStore(spark, f"{shared_folder(spark)}/larder-shards-{uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"), max_rows=2_000)
-    version = store.compact(target=SHARD_TARGET)
-    sizes = store.manifest(version).select(F.col("shard").alias("__shard"), F.col("bytes").alias("shard_bytes"), F.col("level").alias("shard_level"))
-    return store.read(version).select("doc_id", F.length("text").cast("long").alias("n_chars"), "__shard").join(sizes, "__shard").select("doc_id", "n_chars", F.col("__shard").alias("shard"), "shard_bytes", "shard_level", F.lit(version).cast("long").alias("version"))
+    docs = table(spark, sf_dir, "documents")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    version = store.version()
+    while (newer := store.compact()) != version:
+        version = newer
+    sizes = store.manifest(version).select("shard", F.col("bytes").alias("shard_bytes"), F.col("level").alias("shard_level"))
+    rows = store.read(version, schema=docs.schema).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("__shard").alias("shard"))
+    return rows.join(sizes, "shard").select("doc_id", "n_chars", "shard", "shard_bytes", "shard_level", F.lit(version).cast("long").alias("version"))
 
 
 def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

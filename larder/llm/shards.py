@@ -6,28 +6,40 @@ into size tiers (powers of `RATIO`), and each tier with `FANIN` runs or more is
 arrival, into files of about `target` bytes; what is already that large stays. Merged shards are
 new files; the old ones stay readable for readers of older versions until `vacuum`.
 
-A commit writes the manifest under a private name and renames it to its version number;
-renaming onto an existing name fails, so of two writers one wins and the other raises
-`Conflict`. A crash before the rename leaves files that no manifest names.
+A commit writes the manifest under a private name, then publishes a small file, named by the
+version, that says where the manifest lies. Publishing is one atomic step that fails if the name is
+taken (on local file systems a hard link, elsewhere a rename that never replaces), so of writers that
+saw the same version one wins and the others raise `Conflict`. A crash before that step leaves
+files that no version names.
 
 The manifest is a table with a row per shard (metadata, not data); planning is window sums over
 it. Merging is one job: rows meet their group by the file they come from, and a group is
 bounded by `target`, whatever key its rows share.
 
 Defined results: appending an empty table commits a version without new shards; null and
-repeated rows and extra columns are kept as they are.
+repeated rows, very long texts and extra columns are kept as they are, whatever their names; the
+column that says which file a row lies in gets underscores behind its name where the table has
+that name; a store without shards has no columns of its own and reads as an empty table only by a
+schema that the reader gives.
 """
 
 from __future__ import annotations
 
+import json
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from larder.llm.columns import free_name, named
 
 RATIO = 4
 FANIN = 4
 TARGET = 128 * 1024 * 1024
+_SHARD = "regexp_replace(_metadata.file_path, '^.*/data/', '')"
 MANIFEST = "shard string, bytes long, rows long, arrival long, level int"
 
 
@@ -35,12 +47,17 @@ class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def _name(version: int) -> str:
+    return f"v{version:08d}"
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(self._conf)
 
     def version(self) -> int:
         """The newest committed version, 0 before the first commit."""
@@ -54,18 +71,43 @@ class ShardStore:
         v = self.version() if version is None else version
         if v == 0:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/v{v:08d}")
+        place = json.loads(self.spark.read.text(f"{self.path}/manifests/{_name(v)}", wholetext=True).first()[0])["manifest"]
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{place}")
 
     def _commit(self, manifest: DataFrame, version: int) -> int:
-        temp = self._path(f"{self.path}/manifests/.tmp-{uuid4().hex}")
-        final = self._path(f"{self.path}/manifests/v{version:08d}")
-        manifest.coalesce(1).write.parquet(str(temp))
-        # a rename into an existing folder would nest; the name must be free
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, True)
+        place = f".rows-{uuid4().hex}"
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{place}")
+        said = self._path(f"{self.path}/manifests/.said-{uuid4().hex}")
+        out = self._fs.create(said, False)
+        out.write(bytearray(json.dumps({"manifest": place}).encode()))
+        out.close()
+        try:
+            won = self._publish(said, self._path(f"{self.path}/manifests/{_name(version)}"))
+        finally:
+            self._fs.delete(said, False)
+        if not won:
+            self._fs.delete(self._path(f"{self.path}/manifests/{place}"), True)
             raise Conflict(f"version {version} exists")
         return version
 
+    def _publish(self, said, final) -> bool:
+        """Give the file a version's name in one step; False where another has that name."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        try:
+            if self._fs.getScheme() == "file":
+                local = [jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri()) for p in (final, said)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                never = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(said.getFileSystem(self._conf).getUri(), self._conf)
+                context.rename(said, final, never)
+        except (Py4JJavaError, CapturedException) as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
     def _shards(self, folder: str, arrival, level: int) -> DataFrame:
         """A manifest row for each file in a data folder, from the files' metadata."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
@@ -103,23 +145,31 @@ class ShardStore:
         if not groups:
             return old
         names = [r.shard for r in chosen.select("shard").toLocalIterator()]  # metadata: names of files
-        data = self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names])
-        rows = data.select(*data.columns, F.regexp_replace("_metadata.file_path", "^.*/data/", "").alias("__shard"))
-        numbered = chosen.select(F.col("shard").alias("__shard"), (F.dense_rank().over(Window.orderBy("group")) - 1).alias("__group"))
+        data = self._files(names)
+        shard, group = (free_name(n, data.columns) for n in ("__shard", "__group"))
+        rows = data.select(*map(named, data.columns), F.expr(_SHARD).alias(shard))
+        numbered = chosen.select(F.col("shard").alias(shard), (F.dense_rank().over(Window.orderBy("group")) - 1).alias(group))
         folder = f"{self.path}/data/{old + 1:08d}-{uuid4().hex}"
-        merged = rows.join(F.broadcast(numbered), "__shard").drop("__shard")  # a row per file to merge
-        merged.repartitionByRange(groups, "__group").write.partitionBy("__group").option("compression", "zstd").parquet(folder)
+        merged = rows.join(F.broadcast(numbered), shard).drop(shard)  # a row per file to merge
+        # a task per group, whose rows become one file: nothing is sorted
+        merged.repartitionById(groups, F.col(group)).drop(group).write.option("compression", "zstd").parquet(folder)
         kept = self.manifest(old).join(chosen.select("shard"), "shard", "left_anti")
-        return self._commit(kept.unionByName(self._shards(folder, old + 1, 1)), old + 1)
+        return self._commit(kept.unionByName(self._shards(folder, old + 1, 1).where("rows > 0")), old + 1)
+
+    def _files(self, names: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with `__shard`, the file that each lies in."""
-        listed = self.manifest(version).checkpoint()
-        names = [r.shard for r in listed.select("shard").toLocalIterator()]
+    def read(self, version: int | None = None, shard: str = "__shard", schema: StructType | None = None) -> DataFrame:
+        """The rows of a version with `shard`, the file that each lies in (underscores follow the name where the table has it).
+        A store without rows reads as an empty table of `schema`; without one that is an error."""
+        names = [r.shard for r in self.manifest(version).select("shard").toLocalIterator()]
         if not names:
-            raise ValueError("an empty store has no columns")
-        data = self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names])
-        return data.select(*data.columns, F.regexp_replace("_metadata.file_path", "^.*/data/", "").alias("__shard"))
+            if schema is None:
+                raise ValueError("an empty store has no columns")
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumn(free_name(shard, empty.columns), F.lit("").cast("string"))
+        data = self._files(names)
+        return data.select(*map(named, data.columns), F.expr(_SHARD).alias(free_name(shard, data.columns)))
 
     def vacuum(self) -> int:
         """Delete the data files that the newest version does not name; returns how many."""

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from larder.llm import shards
@@ -55,3 +57,47 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     with pytest.raises(shards.Conflict):
         b._commit(b.manifest(), 1)
     assert a.version() == 1 and a.manifest().count() >= 1
+
+
+def test_writers_that_saw_the_same_version(spark, tmp_path):
+    """Neither looks before it publishes: the step itself lets one through."""
+    stores = [shards.ShardStore(spark, str(tmp_path / "s")) for _ in range(6)]
+    stores[0].append(spark.createDataFrame(rows(0, 10), SCHEMA).coalesce(1))
+
+    def write(store):
+        try:
+            return store._commit(store.manifest(1), 2)
+        except shards.Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(write, stores))
+    assert sorted(won, key=str) == [2] + [None] * 5
+    assert stores[1].version() == 2 and stores[1].read().count() == 10
+    # a lost commit leaves nothing behind
+    kept = [p.name for p in (tmp_path / "s" / "manifests").iterdir() if p.name.startswith(".rows") or p.name.startswith(".said")]
+    assert len(kept) == 2
+
+
+def test_columns_of_any_name_and_empty_stores(spark, tmp_path):
+    schema = "doc_id long, `__shard` string, `__group` int, `a.b` string, text string"
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    for k in range(5):
+        store.append(spark.createDataFrame([(k, "own", 7, "dot", "long " * 100_000), (None, None, None, None, None)], schema).coalesce(1))
+    assert store.compact(target=1 << 30) == 6
+    read = store.read()
+    assert read.columns == ["doc_id", "__shard", "__group", "a.b", "text", "__shard_"]
+    assert sorted((tuple(r)[:4] for r in read.collect()), key=str) == sorted([(k, "own", 7, "dot") for k in range(5)] + [(None,) * 4] * 5, key=str)
+    empty = shards.ShardStore(spark, str(tmp_path / "e"))
+    empty.append(spark.createDataFrame([], schema))
+    assert empty.read(schema=read.drop("__shard_").schema).collect() == []
+
+
+def test_the_query_keeps_every_row(spark, tmp_path):
+    from larder.llm.queries import op9_tiered_compaction
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = op9_tiered_compaction(spark, "/root/testdata/sf0.01")
+    assert sorted((r.doc_id, r.n_chars) for r in out.collect()) == sorted((r.doc_id, len(r.text)) for r in docs.collect())
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op9_tiered_compaction(spark, str(tmp_path)).collect() == []

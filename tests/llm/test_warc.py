@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import io
 
 import zstandard
 
@@ -45,7 +46,7 @@ def test_seekable(spark, monkeypatch):
     seen = {}
     for content, frames, _ in made:
         # a plain reader passes the seek table as a skippable frame
-        whole = b"".join(zstandard.ZstdDecompressor().read_to_iter(content, read_across_frames=True))
+        whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
         parts = [warc.read_frame(content, k) for k in range(frames)]
         assert b"".join(parts) == whole and frames == len(warc.frames_of(content))
         for part in parts:
