@@ -92,12 +92,12 @@ def replace_rows(new: DataFrame, folder: str, key: str = "memory_id", buckets: i
     staged(out, "replace").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
 
-def read_bench(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """IO5: benchmark rows kept as one JSON array."""
-    reader = spark.read.option("multiLine", True)
+def read_bench(spark: SparkSession, path: str, schema: str | None = None, array: bool = False) -> DataFrame:
+    """IO5: benchmark rows as JSON lines, as write_bench leaves them; with `array`, of files that hold one JSON array each."""
+    reader = spark.read.option("multiLine", array)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
 def write_bench(df: DataFrame, path: str) -> None:
-    """IO5: rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    """IO5: rows as JSON lines; null fields are written, so that every column comes back."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
