@@ -9,7 +9,10 @@ Numbers, formats and chunk names below are those of the public format specificat
 
 Defined results: null or empty bytes have no type and nothing embedded; the declared type stays
 when nothing valid starts at byte 0. Of places inside an embedded file that was found, none is
-reported again (the outermost file counts).
+reported again (the outermost file counts). A PDF reaches to its last end marker before the next
+PDF's header. Very long values are scanned whole, in time by their length; equal values give equal
+rows. `sniff_media` keeps all other columns (those named actual or embedded get underscores behind
+their names), `texts_as_media` reads the id and the text alone.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.columns import free_name, named, packed
 from larder.session import staged
 
 # Magic bytes and where, from a file's start, they stand.
@@ -43,142 +47,182 @@ MAGIC = {
 }
 SAMPLES = 576  # payloads are filled up to a multiple of this
 RATE = 8000
+PIECE = 65536  # bytes given to a decompressor at once
+
+
+class Value:
+    """The bytes of one value, and what was already found in them: magic bytes may be many, and each end
+    marker is looked for once, each chain of chunks is walked once."""
+
+    def __init__(self, data: bytes):
+        self.data, self._next, self._ends = data, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def number(self, at: int, size: int, order: str) -> int:
+        return int.from_bytes(self.data[at : at + size], order)
+
+    def next(self, marker: bytes, at: int) -> int:
+        """The first place from `at` on where the marker is, -1 if none."""
+        since, place = self._next.get(marker, (at + 1, -1))
+        if not (since <= at and (place < 0 or at <= place)):
+            place = self.data.find(marker, at)
+            self._next[marker] = at, place
+        return place
+
+    def follow(self, kind: str, at: int, step) -> int:
+        """Where the chain from `at` leads: step(p) gives the next place and None, or None and the answer."""
+        known, path = self._ends.setdefault(kind, {}), []
+        while at not in known:
+            path.append(at)
+            at, answer = step(at)
+            if at is None:
+                break
+        else:
+            answer = known[at]
+        known.update(dict.fromkeys(path, answer))
+        return answer
 
 
-def _riff(data: memoryview, at: int, kind: bytes) -> int:
-    if len(data) < at + 12 or bytes(data[at : at + 4]) != b"RIFF" or bytes(data[at + 8 : at + 12]) != kind:
+def _riff(v: Value, at: int, kind: bytes, first: bytes) -> int:
+    if v.data[at : at + 4] != b"RIFF" or v.data[at + 8 : at + 12] != kind or v.data[at + 12 : at + 12 + len(first)] != first:
         return 0
-    size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-    if at + size > len(data):
+    size = 8 + v.number(at + 4, 4, "little")
+    if at + size > len(v):
         return 0
     p, chunks = at + 12, 0
     while p + 8 <= at + size:  # chunks fill the file exactly
-        p += 8 + (n := int.from_bytes(data[p + 4 : p + 8], "little")) + n % 2
+        p += 8 + (n := v.number(p + 4, 4, "little")) + n % 2
         chunks += 1
     return size if chunks and p in (at + size, at + size + 1) else 0
 
 
-def _wav(data, at):
-    n = _riff(data, at, b"WAVE")
-    return n if n and bytes(data[at + 12 : at + 16]) == b"fmt " else 0
+def _wav(v, at):
+    return _riff(v, at, b"WAVE", b"fmt ")
+
 
+def _webp(v, at):
+    return _riff(v, at, b"WEBP", b"VP8")
 
-def _webp(data, at):
-    n = _riff(data, at, b"WEBP")
-    return n if n and bytes(data[at + 12 : at + 15]) == b"VP8" else 0
 
+def _png(v, at):
+    def chunk(p):
+        n, kind = v.number(p, 4, "big"), v.data[p + 4 : p + 8]
+        if p + 12 + n > len(v) or zlib.crc32(v.data[p + 4 : p + 8 + n]) != v.number(p + 8 + n, 4, "big"):
+            return None, 0
+        return (None, p + 12 + n) if kind == b"IEND" else (p + 12 + n, None)
 
-def _png(data, at):
-    p = at + 8
-    while p + 12 <= len(data):
-        n, kind = int.from_bytes(data[p : p + 4], "big"), bytes(data[p + 4 : p + 8])
-        if p + 12 + n > len(data) or (p == at + 8 and (kind != b"IHDR" or n != 13)):
-            return 0
-        if zlib.crc32(data[p + 4 : p + 8 + n]) != int.from_bytes(data[p + 8 + n : p + 12 + n], "big"):
-            return 0
-        p += 12 + n
-        if kind == b"IEND":
-            return p - at
-    return 0
+    if v.number(at + 8, 4, "big") != 13 or v.data[at + 12 : at + 16] != b"IHDR":
+        return 0
+    return max(v.follow("png", at + 8, chunk) - at, 0)
 
 
-def _gif(data, at):
-    if bytes(data[at : at + 6]) not in (b"GIF87a", b"GIF89a") or len(data) < at + 13:
+def _gif(v, at):
+    data = v.data
+    if data[at : at + 6] not in (b"GIF87a", b"GIF89a") or len(v) < at + 13:
         return 0
 
     def table(flags):
         return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
-    def blocks(p):
-        while p < len(data) and data[p]:
-            p += data[p] + 1
-        return p + 1
+    def sub(p):
+        return (p + data[p] + 1, None) if p < len(data) and data[p] else (None, p + 1)
 
-    p = at + 13 + table(data[at + 10])
-    while p < len(data):
+    def part(p):
+        if p >= len(data):
+            return None, 0
         if data[p] == 0x3B:
-            return p + 1 - at
+            return None, p + 1
         if data[p] == 0x21:
-            p = blocks(p + 2)
-        elif data[p] == 0x2C and p + 10 < len(data):
-            p = blocks(p + 10 + table(data[p + 9]) + 1)
-        else:
-            return 0
-    return 0
+            return v.follow("gif blocks", p + 2, sub), None
+        if data[p] == 0x2C and p + 10 < len(data):
+            return v.follow("gif blocks", p + 10 + table(data[p + 9]) + 1, sub), None
+        return None, 0
+
+    return max(v.follow("gif", at + 13 + table(data[at + 10]), part) - at, 0)
 
 
-def _jpeg(data, at):
-    p = at + 2
-    while p + 4 <= len(data):
-        if data[p] != 0xFF:
-            return 0
-        kind = data[p + 1]
-        n = int.from_bytes(data[p + 2 : p + 4], "big")
+def _jpeg(v, at):
+    def segment(p):
+        if p + 4 > len(v) or v.data[p] != 0xFF:
+            return None, 0
+        kind, n = v.data[p + 1], v.number(p + 2, 2, "big")
         if kind in (0x00, 0xFF, 0xD8, 0xD9) or n < 2:
-            return 0
-        p += 2 + n
+            return None, 0
         if kind == 0xDA:  # entropy-coded data to the end marker
-            raw = bytes(data[p:])
-            end = raw.find(b"\xff\xd9")
-            return p + end + 2 - at if end >= 0 else 0
-    return 0
+            return None, v.next(b"\xff\xd9", p + 2 + n) + 2
+        return p + 2 + n, None
 
+    return max(v.follow("jpeg", at + 2, segment) - at, 0)
 
-def _pdf(data, at):
-    end = bytes(data[at:]).rfind(b"%%EOF")
-    return end + 5 if end > 0 and bytes(data[at + 5 : at + 6]).isdigit() else 0
+
+def _pdf(v, at):
+    # a file may end several times, as updates are appended; the next file's header ends the search
+    if not v.data[at + 5 : at + 6].isdigit():
+        return 0
+    stop = v.next(b"%PDF-", at + 5)
+    end = v.data.rfind(b"%%EOF", at, len(v) if stop < 0 else stop)
+    return end + 5 - at if end > 0 else 0
 
 
-def _zip(data, at):
-    raw = bytes(data[at:])
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
+def _zip(v, at):
+    end = v.next(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(v):
         return 0
-    size, start = struct.unpack("<II", raw[end + 12 : end + 20])
-    return end + 22 + int.from_bytes(raw[end + 20 : end + 22], "little") if start + size == end else 0
+    size, start = struct.unpack("<II", v.data[end + 12 : end + 20])
+    return end - at + 22 + v.number(end + 20, 2, "little") if start + size == end - at else 0
 
 
-def _gzip(data, at):
+def _gzip(v, at):
+    unzip, p = zlib.decompressobj(31), at
     try:
-        unzip = zlib.decompressobj(31)
-        rest = bytes(data[at:])
-        while rest and not unzip.eof:
-            unzip.decompress(rest, 1 << 20)
-            rest = unzip.unconsumed_tail
-        return len(data) - at - len(unzip.unused_data) if unzip.eof else 0
+        while p < len(v) and not unzip.eof:
+            rest = v.data[p : p + PIECE]
+            p += len(rest)
+            while rest and not unzip.eof:
+                unzip.decompress(rest, 1 << 20)
+                rest = unzip.unconsumed_tail
     except zlib.error:
         return 0
+    return p - at - len(unzip.unused_data) if unzip.eof else 0
 
 
-def _flac(data, at):
+def _flac(v, at):
     # STREAMINFO comes first and has 34 bytes; the length of a stream isn't stated, it takes the rest
-    return len(data) - at if len(data) >= at + 42 and data[at + 4] & 0x7F == 0 and int.from_bytes(data[at + 5 : at + 8], "big") == 34 else 0
-
-
-def _ogg(data, at):
-    p = at
-    while p + 27 <= len(data) and bytes(data[p : p + 4]) == b"OggS" and data[p + 4] == 0:
-        n = data[p + 26]
-        size = 27 + n + sum(data[p + 27 : p + 27 + n])
-        if p + size > len(data):
-            return 0
-        last, p = data[p + 5] & 4, p + size
-        if last:
-            break
-    return p - at
-
-
-def _mp4(data, at):
-    p, kinds = at, []
-    while p + 8 <= len(data):
-        n, kind = int.from_bytes(data[p : p + 4], "big"), bytes(data[p + 4 : p + 8])
-        if n == 1 and p + 16 <= len(data):
-            n = int.from_bytes(data[p + 8 : p + 16], "big")
-        if n < 8 or p + n > len(data) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        p += n
-    return p - at if b"moov" in kinds and kinds[0] == b"ftyp" else 0
+    return len(v) - at if len(v) >= at + 42 and v.data[at + 4] & 0x7F == 0 and v.number(at + 5, 3, "big") == 34 else 0
+
+
+def _ogg(v, at):
+    def page(p):
+        if p + 27 > len(v) or v.data[p : p + 4] != b"OggS" or v.data[p + 4] != 0:
+            return None, p  # no further page
+        n = v.data[p + 26]
+        size = 27 + n + sum(v.data[p + 27 : p + 27 + n])
+        if p + size > len(v):
+            return None, 0
+        return (None, p + size) if v.data[p + 5] & 4 else (p + size, None)
+
+    return max(v.follow("ogg", at, page) - at, 0)
+
+
+def _mp4(v, at):
+    def box(p):
+        """The kind of the box at p and its end; none where no box is."""
+        n, kind = v.number(p, 4, "big"), v.data[p + 4 : p + 8]
+        if n == 1 and p + 16 <= len(v):
+            n = v.number(p + 8, 8, "big")
+        return (kind, p + n) if p + 8 <= len(v) and n >= 8 and p + n <= len(v) and kind.isalnum() else (b"", 0)
+
+    def after(p):
+        kind, end = box(p)
+        return (end, None) if kind else (None, p)
+
+    def has_moov(p):
+        kind, end = box(p)
+        return (None, int(kind == b"moov")) if not kind or kind == b"moov" else (end, None)
+
+    return v.follow("mp4", at, after) - at if box(at)[0] == b"ftyp" and v.follow("moov", at, has_moov) else 0
 
 
 VALID = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/wav": _wav, "image/webp": _webp, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "application/ogg": _ogg, "video/mp4": _mp4}
@@ -197,37 +241,44 @@ def sniff(data: bytes | None) -> list[tuple[int, int, str]]:
     """(start, length, type) of the valid files in data: the one at 0 and the outermost inside."""
     if not data:
         return []
-    view, found, inside = memoryview(data), [], 0
+    value, found, inside = Value(data), [], 0
     for end, (kind, back) in _automaton().iter(data.decode("latin-1")):
         start = end - back
         if start < inside or start < 0:
             continue
-        if n := VALID[kind](view, start):
+        if n := VALID[kind](value, start):
             found.append((start, n, kind))
             # the file at 0 is the column's own; what it holds is embedded
             inside = start + n if start else 0
     return found
 
 
-def identify(batches):
-    """media, declared to media, declared, actual, embedded."""
+_INSIDE = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+
+
+def identify(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """The actual types and what is embedded, of a batch with the columns media and declared."""
+    actual, embedded = [], []
+    for data, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist(), strict=True):
+        found = sniff(data)
+        own = next((k for s, _, k in found if s == 0), None)
+        actual.append(own or declared)
+        embedded.append([{"start": s, "length": n, "type": k} for s, n, k in found if s])
+    return pa.array(actual, pa.string()), pa.array(embedded, _INSIDE)
+
+
+def _identified(batches):
     for batch in batches:
-        actual, embedded = [], []
-        for data, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist(), strict=True):
-            found = sniff(data)
-            own = next((k for s, _, k in found if s == 0), None)
-            actual.append(own or declared)
-            embedded.append([{"start": s, "length": n, "type": k} for s, n, k in found if s])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(actual, pa.string()), pa.array(embedded, kind)], [*batch.schema.names, "actual", "embedded"])
+        yield pa.RecordBatch.from_arrays([batch.column("own"), *identify(batch)], ["own", "actual", "embedded"])
 
 
 def sniff_media(media: DataFrame, content: str = "media", declared: str = "declared") -> DataFrame:
     """All columns, `actual` (the corrected type) and `embedded` (array of start, length, type;
-    carve with substring(media, start + 1, length))."""
-    own = media.withColumnsRenamed({content: "media", declared: "declared"})
-    out = own.withColumns({"actual": F.lit(None).cast("string"), "embedded": F.lit(None).cast("array<struct<start:bigint,length:bigint,type:string>>")}).schema
-    return own.mapInArrow(identify, out).withColumnsRenamed({"media": content, "declared": declared})
+    carve with substring(media, start + 1, length)); underscores follow a name that the input has."""
+    rows = packed(media, named(content).alias("media"), named(declared).alias("declared"))
+    out = rows.select("own", F.lit(None).cast("string").alias("actual"), F.lit(None).cast("array<struct<start:bigint,length:bigint,type:string>>").alias("embedded"))
+    found = rows.mapInArrow(_identified, out.schema)
+    return found.select("own.*", *(F.col(c).alias(free_name(c, media.columns)) for c in ("actual", "embedded")))
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -260,9 +311,10 @@ def samples_of(wav: bytes) -> bytes:
 
 
 def _features(batches):
-    for batch in identify(batches):
+    for batch in batches:
+        kinds, insides = identify(batch)
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for data, kind, inside in zip(batch.column("media").to_pylist(), batch.column("actual").to_pylist(), batch.column("embedded").to_pylist(), strict=True):
+        for data, kind, inside in zip(batch.column("media").to_pylist(), kinds.to_pylist(), insides.to_pylist(), strict=True):
             if kind != "audio/wav":
                 raise ValueError(f"stored as audio/wav, read back as {kind}")
             payload = samples_of(data)
@@ -276,7 +328,7 @@ def _features(batches):
             parts = ",".join(f"{e['type']}@{e['start']}+{e['length']}" for e in inside)
             out["feature"].append(f"{kind};samples={len(payload)};mean={float(level @ np.arange(256)) / len(payload):.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};embedded=[{parts}]")
         longs = ("payload_bytes", "tail_crc32", "media_bytes")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(v, pa.int64() if k in longs else pa.string()) for k, v in out.items()), batch.column("declared"), batch.column("actual")], ["doc_id", "n_bytes", *out, "declared_type", "actual_type"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(v, pa.int64() if k in longs else pa.string()) for k, v in out.items()), batch.column("declared"), kinds], ["doc_id", "n_bytes", *out, "declared_type", "actual_type"])
 
 
 def texts_as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -66,3 +67,33 @@ def test_texts(spark):
         assert (r.declared_type, r.actual_type) == ("application/octet-stream", "audio/wav")
     assert out[2].feature == out[7].feature and out[2].media_sha256 == out[7].media_sha256
     assert media.texts_as_media(df.where("false")).collect() == []
+
+
+def test_two_files_of_each_format_are_two():
+    for kind, data in FILES.items():
+        if kind != "audio/flac":
+            whole = b"garbage" + data + b" between " + data + b"tail"
+            assert media.sniff(whole) == [(7, len(data), kind), (16 + len(data), len(data), kind)], kind
+    updated = PDF + b"\n2 0 obj\nendobj\n%%EOF"
+    assert media.sniff(b"ab" + updated + b"between" + PDF) == [(2, len(updated), "application/pdf"), (9 + len(updated), len(PDF), "application/pdf")]
+
+
+def test_many_magic_bytes_take_time_by_their_length():
+    page = b"OggS\x00\x00" + b"\0" * 20 + b"\x01\x03abc"
+    segment = b"\xff\xe0\x00\x05\xff\xd8\xff"
+    box = struct.pack(">I", 16) + b"ftypisom\0\0\0\0"
+    units = [b"%PDF-1", b"PK\x03\x04", b"\x1f\x8b\x08\x00", b"\xff\xd8\xff", b"GIF89a", b"\x89PNG\r\n\x1a\n", b"RIFFxxxxWAVE", b"fLaC", b"OggS", b"\0\0\0\x08ftyp", page, segment, box, b"GIF89a\x01\x00\x01\x00\x00\x00\x00!\x01\x01"]
+    for unit in units:
+        started = time.process_time()
+        media.sniff(b"x" + unit * (1_000_000 // len(unit)) + b"OggS\x00\x00" + b"\0" * 20 + b"\xff")
+        assert time.process_time() - started < 8, unit
+    started = time.process_time()
+    media.sniff(b"".join(units) * (10_000_000 // sum(map(len, units))))
+    assert time.process_time() - started < 60
+
+
+def test_columns_of_our_names_stay(spark):
+    df = spark.createDataFrame([(1, png(), "text/plain", "a", "e", "m")], "id int, bytes binary, kind string, actual string, embedded string, media string")
+    out = media.sniff_media(df, "bytes", "kind")
+    assert out.columns == ["id", "bytes", "kind", "actual", "embedded", "media", "actual_", "embedded_"]
+    assert tuple(out.first())[3:] == ("a", "e", "m", "image/png", [])
