@@ -4,14 +4,20 @@ score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 for
 term i of the text. The pairwise part learns what additive weights miss: terms that are
 harmless alone and not together.
 
-Training takes a documented, bounded sample: at most `sample` labelled rows outside the held
-out fold, the first by a hash of their id. Only their hashed terms reach the driver. Scoring
-reads every whole text in Arrow batches with the model broadcast (fixed size:
-2**BITS x (FACTORS + 1) floats).
+Training takes a documented, bounded sample: at most `sample` labelled ids outside the held out
+fold, the first by a hash of their id, one text of each (of several the one whose hash is least) and of that at
+most `MOST_TERMS` terms. Only their hashed terms reach the driver. Terms are trained if they alone
+tell the label apart (a chi-squared level), or if they do so together with another frequent term
+(`_paired`), whether or not they tell anything alone. The level, whether prefixes count, and the number of
+epochs are chosen by the loss on every fifth row of that sample; the machine is then fitted on all of it. The
+held out fold takes no part in any of this. Scoring reads every whole text in Arrow batches with
+the model broadcast (fixed size: 2**BITS x (FACTORS + 1) floats).
 
 Defined results: null and empty texts have no terms and score by the bias alone; rows without
 an id are scored, never learned from, and count as not held out; of several labels of one id
-the largest counts; without any usable label every score is 0.
+the largest counts; without any usable label every score is 0; an empty table gives an empty result. Very
+long texts are scored whole. `drop_toxic` keeps every other column, whatever its name; `toxicity_scores`
+reads the id and the text alone.
 """
 
 from __future__ import annotations
@@ -26,17 +32,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.columns import named, packed, unpacked
+
 BITS = 18
 FACTORS = 4
 SAMPLE = 8_000
+MOST_TERMS = 8_192  # of a sampled row, the least by hash
 MIN_ROWS = 3  # sampled rows that a hashed term needs, else it stays at zero
-SURPRISE = 6.63  # chi-squared that a term needs against the label (one in a hundred by chance)
-EPOCHS = 25
+LEVELS = (6.63, 10.83, 20.0)  # chi-squared that a term needs against the label: by chance in 100, 1,000 and 100,000 one
+FREQUENT = 1_024  # terms whose pairs are looked at
+PAIR_LEVEL = 40.0  # chi-squared of a pair: beyond chance for half a million pairs
+EPOCHS = 40
 BATCH = 256
-RATE = 0.08
+RATE = 0.4
 DECAY = 1e-4
 PREFIXES = (4, 5, 6)
 KNOWN = 200_000  # words whose hash a worker remembers
+HALF = 1 << (BITS - 1)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -59,7 +71,7 @@ class Machine:
 
 class Terms:
     """Texts to their distinct hashed terms: words, and the first PREFIXES letters of longer words,
-    which carry over to inflected and compounded forms."""
+    which carry over to inflected and compounded forms. Words are numbered below HALF, prefixes from it on."""
 
     def __init__(self):
         self.known: dict[str, tuple[int, ...]] = {}
@@ -69,8 +81,8 @@ class Terms:
             self.known = {}
         words, known = set(_WORD.findall((text or "").lower())), self.known
         for w in words.difference(known):
-            forms = [w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)]
-            known[w] = tuple(xxhash.xxh32_intdigest(f.encode()) >> (32 - BITS) for f in forms)
+            starts = (HALF + (xxhash.xxh32_intdigest(w[:n].encode()) >> (33 - BITS)) for n in PREFIXES if len(w) > n)
+            known[w] = (xxhash.xxh32_intdigest(w.encode()) >> (33 - BITS), *starts)
         found = set(chain.from_iterable(map(known.__getitem__, words)))
         return np.sort(np.fromiter(found, np.int32, len(found)))
 
@@ -80,104 +92,196 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def _surprise(rows: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
+class Rows:
+    """Rows of terms, laid end to end."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.terms = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+    def take(self, chosen: np.ndarray) -> Rows:
+        return Rows([self.terms[self.start[i] : self.start[i + 1]] for i in chosen])
+
+    def renumbered(self, told: np.ndarray) -> Rows:
+        """Only the terms that are told, by a dense number."""
+        column, keep = np.cumsum(told) - 1, told[self.terms]
+        out = Rows([])
+        out.n, out.terms, out.row = self.n, column[self.terms[keep]], self.row[keep]
+        out.start = np.searchsorted(out.row, np.arange(self.n + 1))
+        return out
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values, self.n)
+
+
+def _surprise(rows: Rows, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The chi-squared statistic of each term against the label."""
-    n, k = len(rows), float(toxic.sum())
-    both = np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t] or [np.zeros(0, np.int32)]), minlength=len(seen))
-    a, b = both, seen - both
+    n, k = rows.n, float(toxic.sum())
+    a = np.bincount(rows.terms, toxic[rows.row], len(seen))
+    b = seen - a
     c, d = k - a, (n - k) - b
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * k * (n - k), 1e-9)
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
+def _paired(rows: Rows, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Terms that with another of the FREQUENT ones tell the label: n times the squared correlation
+    of the label with the product of both terms, all without their means, reaches PAIR_LEVEL."""
+    out = np.zeros(len(seen), bool)
+    often = np.flatnonzero(seen >= max(MIN_ROWS, rows.n // 100))
+    often = often[np.lexsort((often, -seen[often]))][:FREQUENT]
+    often = np.sort(often[seen[often] <= 0.99 * rows.n])
+    if not len(often):
+        return out
+    place = np.full(len(seen), -1)
+    place[often] = np.arange(len(often))
+    at = place[rows.terms]
+    x = np.zeros((rows.n, len(often)), np.float32)
+    x[rows.row[at >= 0], at[at >= 0]] = 1
+    x -= x.mean(axis=0)
+    y = (toxic - toxic.mean()).astype(np.float32)
+    together = x.T @ (x * y[:, None])
+    x *= x
+    spread = x.T @ x  # the sum of squares of the products
+    level = together**2 / np.maximum(spread * (y**2).mean(), 1e-9)
+    np.fill_diagonal(level, 0)
+    out[often] = level.max(axis=1) >= PAIR_LEVEL
+    return out
+
+
+class _Fit:
     """AdaGrad on the logistic loss, in batches, rows in a fixed shuffled order."""
+
+    def __init__(self, rows: Rows, toxic: np.ndarray, told: np.ndarray, seed: int):
+        self.told, self.rows, self.toxic = told, rows.renumbered(told), toxic
+        self.n, self.rng = int(told.sum()), np.random.default_rng(seed)
+        share = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6)
+        self.w, self.v, self.b = np.zeros(self.n), self.rng.normal(0, 0.01, (self.n, FACTORS)), float(np.log(share / (1 - share)))
+        self.gw, self.gv, self.gb = np.full(self.n, 1e-2), np.full((self.n, FACTORS), 1e-2), 1e-2
+
+    def margins(self, rows: Rows) -> np.ndarray:
+        vt = self.v[rows.terms]
+        square = sum(rows.sums(vt[:, f]) ** 2 for f in range(FACTORS)) - rows.sums((vt * vt).sum(axis=1))
+        return self.b + rows.sums(self.w[rows.terms]) + 0.5 * square
+
+    def epoch(self) -> None:
+        order = self.rng.permutation(self.rows.n)
+        for k in range(0, len(order), BATCH):
+            own = self.rows.take(order[k : k + BATCH])
+            terms, vt, scale = own.terms, self.v[own.terms], 1.0 / own.n
+            total = np.stack([own.sums(vt[:, f]) for f in range(FACTORS)], axis=1)
+            z = self.b + own.sums(self.w[terms]) + 0.5 * ((total**2).sum(axis=1) - own.sums((vt * vt).sum(axis=1)))
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.toxic[order[k : k + BATCH]]
+            at, place = np.unique(terms, return_inverse=True)
+            each = error[own.row]
+            dw = np.bincount(place, each, len(at)) * scale + DECAY * self.w[at]
+            dv = np.stack([np.bincount(place, each * (total[own.row, f] - vt[:, f]), len(at)) for f in range(FACTORS)], axis=1) * scale + DECAY * self.v[at]
+            self.gw[at] += dw * dw
+            self.gv[at] += dv * dv
+            self.gb += float(error.mean()) ** 2
+            self.w[at] -= RATE * dw / np.sqrt(self.gw[at])
+            self.v[at] -= RATE * 0.5 * dv / np.sqrt(self.gv[at])
+            self.b -= RATE * float(error.mean()) / self.gb**0.5
+
+    def machine(self) -> Machine:
+        size, at = len(self.told), np.flatnonzero(self.told)
+        weights, factors = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
+        weights[at], factors[at] = self.w, self.v
+        return Machine(self.b, weights, factors)
+
+
+def _told(rows: Rows, toxic: np.ndarray, level: float, prefixes: bool) -> np.ndarray:
+    """The terms to train."""
+    seen = np.bincount(rows.terms, minlength=1 << BITS)
+    told = (seen >= MIN_ROWS) & ((_surprise(rows, toxic, seen) >= level) | _paired(rows, toxic, seen))
+    if not told.any():
+        told = seen >= MIN_ROWS
+    if not prefixes:
+        told[HALF:] = False
+    return told
+
+
+def choose(rows: Rows, toxic: np.ndarray, seed: int) -> tuple[float, bool, int]:
+    """(level, prefixes, epochs) of the least loss on every fifth row, fitted on the others: the level with
+    prefixes first, then whether that level does better without them."""
+    check = np.arange(rows.n) % 5 == 4
+    if min(toxic[check].sum(), (1 - toxic[check]).sum()) < 5:
+        return LEVELS[1], True, EPOCHS // 2
+    own, other = rows.take(np.flatnonzero(~check)), rows.take(np.flatnonzero(check))
+
+    def tried(level: float, prefixes: bool) -> tuple[float, float, bool, int]:
+        told = _told(own, toxic[~check], level, prefixes)
+        fit, checked, losses = _Fit(own, toxic[~check], told, seed), other.renumbered(told), []
+        for _ in range(EPOCHS):
+            fit.epoch()
+            losses.append(float(np.logaddexp(0, np.where(toxic[check] > 0, -1, 1) * fit.margins(checked)).mean()))
+        return min(losses), level, prefixes, int(np.argmin(losses)) + 1
+
+    best = min(tried(level, True) for level in LEVELS)
+    return min(best, tried(best[1], False))[1:]
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
+    """A machine by the settings that suit the rows; their order is shuffled once, the same for equal rows."""
     size = 1 << BITS
     if not len(rows) or len(np.unique(toxic)) < 2:
         return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32), False)
-    seen = np.bincount(np.concatenate(rows), minlength=size)
-    told = (seen >= MIN_ROWS) & (_surprise(rows, toxic, seen) >= SURPRISE)
-    if not told.any():
-        told = seen >= MIN_ROWS
-    column = np.cumsum(told) - 1  # terms are trained by a dense number
-    rows = [column[r[told[r]]] for r in rows]
-    n, rng = int(column[-1]) + 1, np.random.default_rng(seed)
-    w, v, b = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), float(np.log(toxic.mean() / (1 - toxic.mean())))
-    gw, gv, gb = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), BATCH):
-            own = [rows[i] for i in order[k : k + BATCH]]
-            lengths = np.array([len(r) for r in own])
-            terms, row = np.concatenate(own), np.repeat(np.arange(len(own)), lengths)
-            vt = v[terms]
-            total = np.stack([np.bincount(row, vt[:, f], len(own)) for f in range(FACTORS)], axis=1)
-            square = np.bincount(row, (vt * vt).sum(axis=1), len(own))
-            z = b + np.bincount(row, w[terms], len(own)) + 0.5 * ((total**2).sum(axis=1) - square)
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[order[k : k + BATCH]]
-            each, scale = error[row], 1.0 / len(own)
-            dw = np.bincount(terms, each, n) * scale
-            dv = np.stack([np.bincount(terms, each * (total[row, f] - vt[:, f]), n) for f in range(FACTORS)], axis=1) * scale
-            touched = np.bincount(terms, minlength=n) > 0
-            dw[touched] += DECAY * w[touched]
-            dv[touched] += DECAY * v[touched]
-            gw += dw * dw
-            gv += dv * dv
-            gb += float(error.mean()) ** 2
-            w -= RATE * dw / np.sqrt(gw)
-            v -= RATE * 0.5 * dv / np.sqrt(gv)
-            b -= RATE * float(error.mean()) / gb**0.5
-    weights, factors = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
-    at = np.flatnonzero(told)
-    weights[at], factors[at] = w, v
-    return Machine(b, weights, factors)
+    order = np.random.default_rng(seed).permutation(len(rows))
+    own, toxic = Rows(rows).take(order), np.asarray(toxic, np.float64)[order]
+    level, prefixes, epochs = choose(own, toxic, seed)
+    fit = _Fit(own, toxic, _told(own, toxic, level, prefixes), seed)
+    for _ in range(epochs):
+        fit.epoch()
+    return fit.machine()
 
 
 def _hashed(batches):
     terms = Terms()
     for batch in batches:
-        found = [terms.of(t) for t in batch.column("__text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
+        found = [terms.of(t)[:MOST_TERMS] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("order"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "order", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
-    """A machine from at most `sample` labelled rows (doc_id, toxic) of the learning folds."""
+    """A machine from at most `sample` labelled ids (doc_id, toxic) of the learning folds, one text of each."""
     chosen = (
-        labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-        .where(F.col("toxic").isNotNull() & (fold(F.col("__id")) != 0))
-        .groupBy("__id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(sample)
+        labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+        .where(F.col("toxic").isNotNull() & (fold(F.col("id")) != 0))
+        .groupBy("id").agg(F.max("toxic").alias("toxic"))
+        .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    known = own.join(F.broadcast(chosen), "__id").select("toxic", "__text")  # at most `sample` rows are broadcast
-    rows = known.mapInArrow(_hashed, "toxic int, terms array<int>").toPandas()
+    own = docs.select(named(doc_id).alias("id"), named(text).alias("text"))
+    known = own.join(F.broadcast(chosen), "id").select("id", "toxic", F.xxhash64("text").alias("order"), "text")  # at most `sample` rows are broadcast
+    hashed = known.mapInArrow(_hashed, known.select("id", "toxic", "order", F.array().cast("array<int>").alias("terms")).schema)
+    # a repeated id counts once, so that no more than `sample` rows are gathered
+    rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min_by("terms", F.struct("order", "terms")).alias("terms")).select("toxic", "terms").toPandas()
     terms = [np.asarray(t, np.int32) for t in rows["terms"]]
     # the order in which rows arrive must not matter
     order = sorted(range(len(terms)), key=lambda i: (terms[i].tobytes(), rows["toxic"].iloc[i]))
     return train([terms[i] for i in order], rows["toxic"].to_numpy(np.float64)[order])
 
 
-def with_scores(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) and __score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)
-    own = docs.select(*[docs[c] for c in (docs.columns if keep is None else keep)], F.col(text).alias("__text"))
+def _scored(rows: DataFrame, machine: Machine) -> DataFrame:
+    """own and score of rows (own, text)."""
+    model = rows.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         terms, m = Terms(), model.value
         for batch in batches:
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
-            margins = np.array([m.margin(terms.of(t)) for t in batch.column("__text").to_pylist()], np.float64)
+            margins = np.array([m.margin(terms.of(t)) for t in batch.column("text").to_pylist()], np.float64)
             scores = 1 / (1 + np.exp(-np.clip(margins, -500, 500))) if m.fitted else np.zeros(len(margins))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(scores)], [batch.schema.names[i] for i in rest] + ["__score"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(scores, pa.float64())], ["own", "score"])
 
-    return own.mapInArrow(run, own.drop("__text").withColumn("__score", F.lit(0.0)).schema)
+    return rows.mapInArrow(run, rows.select("own", F.lit(0.0).alias("score")).schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text)."""
-    scored = with_scores(docs.select("doc_id", "text"), fit(docs, labels, sample), keep=["doc_id"])
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    scored = _scored(docs.select(F.struct("doc_id").alias("own"), "text"), fit(docs, labels, sample)).select("own.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that score under 0.5, columns as they were."""
-    return with_scores(docs, fit(docs, labels, sample)).where("__score < 0.5").select(*docs.columns)
+    return unpacked(_scored(packed(docs, named("text").alias("text")), fit(docs, labels, sample)).where("score < 0.5"))

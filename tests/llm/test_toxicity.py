@@ -62,3 +62,56 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.fit(docs, x) for x in (labels, flipped))
     assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
+def test_pairs_whose_members_tell_nothing_alone():
+    """Toxic where both or neither of two words occur: each word alone is as frequent in both classes."""
+    rng = random.Random(5)
+
+    def corpus(n):
+        rows = []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = [f"filler{rng.randrange(50)}" for _ in range(12)] + ["insult"] * a + ["groupname"] * b
+            rows.append((" ".join(words), int(a == b)))
+        return rows
+
+    terms, rows = toxicity.Terms(), corpus(4000)
+    m = toxicity.train([terms.of(t) for t, _ in rows], np.array([y for _, y in rows], float))
+    assert np.mean([(m.margin(terms.of(t)) > 0) == bool(y) for t, y in corpus(800)]) > 0.95
+
+
+def test_scores_equal_plain_loops(spark):
+    """The score of every row from the fitted numbers, pair by pair."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    m, terms = toxicity.fit(docs, labels), toxicity.Terms()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    short = [d for d, t in texts.items() if len(t) < 1500][:150]
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for d in short:
+        own = [int(t) for t in terms.of(texts[d]) if m.weights[t] != 0]
+        z = m.bias + sum(float(m.weights[t]) for t in own)
+        for i, a in enumerate(own):
+            z += sum(float(np.dot(m.factors[a].astype(float), m.factors[b].astype(float))) for b in own[i + 1 :])
+        assert abs(got[d] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_the_sample_is_bounded_in_rows_and_terms(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic: seen.append(rows))
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, " ".join(f"w{i}" for i in range(40_000)))], "doc_id long, text string"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    toxicity.fit(docs, labels, sample=100_000)
+    assert len(seen[0]) <= 1002 and max(map(len, seen[0])) <= toxicity.MOST_TERMS
+    toxicity.fit(docs, labels, sample=50)
+    assert len(seen[1]) <= 50
+
+
+def test_columns_of_our_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "o", "s", "x.y", "t")], "doc_id long, text string, own string, score string, `a.b` string, __text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    out = toxicity.drop_toxic(df, labels)
+    assert out.columns == df.columns and out.collect() == df.collect()
