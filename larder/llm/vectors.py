@@ -1,33 +1,40 @@
 """Embedding near-duplicates by collision counts of one-dimensional projections.
 
-All projections are directions of one random rotation, so for unit vectors with cosine c the
-squared differences of their projections sum to at most r2 = 2 - 2c. At most `MISSES`
+The projections that are counted are directions of one random rotation, so for unit vectors with
+cosine c the squared differences of their projections sum to at most r2 = 2 - 2c. At most `MISSES`
 of them can exceed the half window w = sqrt(r2 / (MISSES + 1)): a pair that is a link
 collides in at least PROJECTIONS - MISSES windows. The count asked for is therefore
-calibrated to a recall of 1, not estimated; pairs that reach it are verified by
+calibrated to a recall of 1 among the pairs that meet; pairs that reach it are verified by
 their cosine in double precision.
 
-Each label's rows are sorted by the first projection into cells as wide as r, so that links
-lie in one cell or in neighbours, and cells are split into tiles of about `TILE` rows: a hot label
-becomes many tiles, and a pair of tiles is one bounded task group. Inside a group rows are
-sorted by the first projection again and each query block meets the run of rows in its
-window. A group returns, per row, how many links it has there, and the edges of a spanning
-forest in place of all pairs.
+Which pairs meet: a table sorts its rows by the halves (below zero or not) of `bits` further projections,
+and rows in the same halves of all of them form a bucket. A link at the threshold lies in one
+half of a projection in a share 1 - arccos(c) / pi, so that with `plan(rows, c)` tables at most one such link
+in 1 / MISSED meets in none of them (closer pairs far fewer). `bits` grows with the largest label, so
+buckets stay of a size and work grows with rows times tables, not with the square of a label. A bucket's rows
+are sorted by a projection and each query block meets the run of rows in its window. A pair counts in
+the first table that it meets in.
 
-The tiles' pairs grow with the square of a label's rows within a window, which is the
-nature of collision counting (its windows hold a share of the rows); labels and windows are
-what keeps it down.
+Equal vectors of a label are one node with a weight, so a crowd of copies costs no pairs. Buckets of
+more than `tile` rows are cut into tiles, and a pair of tiles is one bounded task group. A
+group returns, per row, how many links it has there, and the edges of a spanning forest in
+place of all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label, link with nothing and are their own component; vectors of other lengths
 are compared among themselves; equal vectors link like others; equal vec_ids are rows of
-their own, and a component's id is its least vec_id.
+their own, and a component's id is its least vec_id. Other columns are neither read nor required; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,49 +47,60 @@ MISSES = 9
 TILE = 4096
 BLOCK = 256
 SEED = 20240229
+MISSED = 1e-4  # of the links at the threshold: the share that may meet in no table
+LEAST_BITS, BUCKET = 8, 64  # bits of a table at least; rows of the largest label that a bucket should have
 
 
-def rotation(dim: int) -> np.ndarray:
+def rotation(dim: int, number: int = 0) -> np.ndarray:
     """dim x dim, orthonormal, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED + dim).normal(size=(dim, dim)))
+    q, r = np.linalg.qr(np.random.default_rng([SEED + dim, number]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+def plan(rows: int, cosine: float) -> tuple[int, int]:
+    """(bits of a table, tables) for a label of so many rows."""
+    bits = int(min(max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / BUCKET))), 30))
+    met = (1 - math.acos(max(min(cosine, 1.0), -1.0)) / math.pi) ** bits
+    return bits, 1 if met >= 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _usable(vector) -> bool:
-    return vector is not None and len(vector) > 0 and bool(np.isfinite(vector).all()) and bool(np.any(vector))
+def usable(vector: str) -> str:
+    """SQL: whether a vector has a direction."""
+    v = f"cast({vector} as array<double>)"
+    return f"coalesce({vector} is not null and size({vector}) > 0 and forall({v}, x -> x is not null and abs(x) < double('Infinity') and not isnan(x)) and exists({v}, x -> x <> 0), false)"
 
 
-def _placed(radius: float):
-    """Rows to their length, usable or not, and cell of the first projection."""
+@lru_cache(maxsize=8)
+def _directions(dim: int, n: int) -> np.ndarray:
+    """dim x n: columns of further rotations."""
+    return np.concatenate([rotation(dim, 1 + i) for i in range(-(-n // dim))], axis=1)[:, :n]
+
+
+def _coded(bits: int, tables: int):
+    """Rows to the number of their bucket in each table."""
 
     def run(batches):
+        weights = 1 << np.arange(bits)
         for batch in batches:
-            dims, cells = [], []
-            raw = batch.column("v").to_pylist()
-            for v in raw:
-                x = np.array([np.nan if c is None else c for c in v], np.float64) if v is not None else None
-                ok = _usable(x)
-                dims.append(len(x) if ok else None)
-                cells.append(int(np.floor((x / np.linalg.norm(x)) @ rotation_first(len(x)) / radius)) if ok else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(dims, pa.int32()), pa.array(cells, pa.int32())], [*batch.schema.names, "dim", "cell"])
+            vectors, out = batch.column("v"), np.zeros((batch.num_rows, tables), np.int32)
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                x = flat[ends[at][:, None] + np.arange(dim)[None, :]]
+                above = (unit_rows(x) @ _directions(int(dim), bits * tables) >= 0).reshape(len(at), tables, bits)
+                out[at] = above @ weights
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "codes"])
 
     return run
 
 
-_FIRST: dict[int, np.ndarray] = {}
-
-
-def rotation_first(dim: int) -> np.ndarray:
-    if dim not in _FIRST:
-        _FIRST[dim] = np.ascontiguousarray(rotation(dim)[:, 0])
-    return _FIRST[dim]
-
-
 def colliding_pairs(left: np.ndarray, right: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of unit rows with cosine of at least `cosine`; right None: pairs i < j of left."""
     other = left if right is None else right
@@ -132,11 +150,15 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _linked(cosine: float):
-    def run(group: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        table = key[2].as_py()
         row, side = group.column("row").to_numpy(), group.column("side").to_numpy()
         order = np.lexsort((row, side))
-        flat = group.column("v").combine_chunks()
-        x = unit_rows(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1))[order]
+
+        def matrix(name):
+            return group.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)[order]
+
+        x, codes, weight = unit_rows(matrix("v")), matrix("codes")[:, :table], group.column("copies").to_numpy()[order]
         row, side = row[order], side[order]
         n = int((side == 0).sum())
         if n == len(row):
@@ -144,7 +166,11 @@ def _linked(cosine: float):
         else:
             i, j = colliding_pairs(x[:n], x[n:], cosine)
             j = j + n
-        counts = np.bincount(i, minlength=len(row)) + np.bincount(j, minlength=len(row))
+        new = np.ones(len(i), bool)
+        for s in range(0, len(i), 100_000):  # pairs that met in an earlier table were counted there
+            new[s : s + 100_000] = ~(codes[i[s : s + 100_000]] == codes[j[s : s + 100_000]]).any(axis=1)
+        i, j = i[new], j[new]
+        counts = np.bincount(i, weight[j], len(row)) + np.bincount(j, weight[i], len(row))
         root = forest(len(row), i, j)
         own = np.flatnonzero(counts)
         return pa.table({"row": pa.array(row[own]), "n": pa.array(counts[own].astype(np.int64)), "root": pa.array(row[root[own]])})
@@ -155,34 +181,28 @@ def _linked(cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     own = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    radius = float(np.sqrt(max(2 - 2 * cosine, 0.0))) + 1e-6
-    out = own.withColumns({"dim": F.lit(0).cast("int"), "cell": F.lit(0).cast("int")}).schema
-    for name in ("dim", "cell"):
-        out[name].nullable = True
-    rows = staged(own.mapInArrow(_placed(radius), out), "vectors")
-    usable = rows.where(F.col("label").isNotNull() & F.col("cell").isNotNull())
-    # tiles: as many to a cell as its rows need; this table holds counts only
-    cells = staged(usable.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
-    tiles = cells.select("label", "dim", "cell", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    far = tiles.select("label", "dim", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"))
-    # a tile meets itself, later tiles of its cell, and the tiles of the next cell
-    meets = ((F.col("cell2") == F.col("cell")) & (F.col("tile2") >= F.col("tile"))) | (F.col("cell2") == F.col("cell") + 1)
-    pairs = tiles.withColumn("cell2", F.explode(F.array("cell", F.col("cell") + 1))).join(far, ["label", "dim", "cell2"]).where(meets)
-    pairs = pairs.withColumn("pair", F.xxhash64("label", "dim", "cell", "tile", "cell2", "tile2"))
-    alone = (F.col("cell") == F.col("cell2")) & (F.col("tile") == F.col("tile2"))
-    asked = staged(
-        pairs.select("label", "dim", "cell", "tile", "pair", F.lit(0).alias("side"))
-        .unionByName(pairs.where(~alone).select("label", "dim", F.col("cell2").alias("cell"), F.col("tile2").alias("tile"), "pair", F.lit(1).alias("side"))),
-        "tile-pairs",
-    )
-    dealt = usable.join(cells, ["label", "dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
-    met = dealt.join(asked, ["label", "dim", "cell", "tile"]).select("label", "dim", "pair", "side", "row", "v")
-    found = staged(met.groupBy("label", "dim", "pair").applyInArrow(_linked(cosine), "row long, n long, root long"), "vector-links")
+    rows = staged(own.withColumn("dim", F.when(F.col("label").isNotNull() & F.expr(usable("v")), F.size("v"))), "vectors")
+    known = rows.where("dim is not null")
+    nodes = staged(known.groupBy("label", "dim", "v").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vector-nodes")
+    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    coded = staged(nodes.mapInArrow(_coded(*plan(largest, cosine)), nodes.withColumn("codes", F.array().cast("array<int>")).schema), "vector-codes")
+    # the buckets are dealt by numbers alone; vectors join those rows that meet others
+    keys = ["label", "dim", "table", "code"]
+    placed = coded.select("row", "label", "dim", F.posexplode("codes").alias("table", "code"))
+    crowded = placed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    dealt = placed.join(crowded, keys).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
+    # a tile meets itself and every other tile of its bucket, as the first or the second of the pair
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("row", *keys, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    pairs = met.join(coded.select("row", "v", "codes", "copies"), "row").groupBy(*keys, "low", "high")
+    found = staged(pairs.applyInArrow(_linked(cosine), "row long, n long, root long"), "vector-links")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     groups = connected_components(found, "row", "root").select(F.col("node").alias("row"), "component")
-    linked = staged(counts.join(groups, "row").join(rows.select("row", "vec_id"), "row"), "vector-components")
-    names = staged(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-names")
-    named = linked.join(names, "component").select("row", "n_links", "component_id")
-    result = rows.select("row", "vec_id").join(named, "row", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    linked = staged(counts.join(groups, "row").join(nodes.select("row", "least"), "row"), "vector-components")
+    names = staged(linked.groupBy("component").agg(F.min("least").alias("component_id")), "vector-names")
+    told = nodes.join(linked.join(names, "component").select("row", "n_links", "component_id"), "row", "left")
+    # a vector's copies are links too
+    told = staged(told.select("label", "v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "vector-told")
+    alone = rows.where("dim is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    result = known.join(told, ["label", "v"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return result.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
