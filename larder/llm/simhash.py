@@ -22,9 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.columns import named, unpacked
 from larder.llm.graph import connected_components
 from larder.session import staged
 
@@ -59,17 +60,14 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        found = [fingerprint(t.as_py()) for t in batch.column("__text")]
-        rest = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
-        columns = [batch.column(i) for i in rest] + [pa.array(found, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in rest] + ["__fp"])
+        found = [fingerprint(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(found, pa.int64())], ["own", "fp"])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) and __fp, the fingerprint of `text`."""
-    kept = docs.select(*[docs[c] for c in (docs.columns if keep is None else keep)], F.col(text).cast("binary").alias("__text"))
-    schema = kept.drop("__text").withColumn("__fp", F.lit(0).cast("long")).schema
-    return kept.mapInArrow(_fingerprints, schema)
+def with_fingerprints(docs: DataFrame, own: Column, text: str = "text") -> DataFrame:
+    """(own, fp): a column made of the row's, and the fingerprint of its text."""
+    rows = docs.select(own.alias("own"), named(text).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, rows.select("own", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -193,29 +191,31 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return asked.join(entries, (asked.key == entries.key) & near).select("a", "b")
 
 
-def fingerprint_components(rows: DataFrame, doc_id: str) -> DataFrame:
-    """(__fp, component_id) for each distinct __fp of rows: the least doc_id reachable."""
-    nodes = staged(rows.groupBy("__fp").agg(F.min(doc_id).alias("__least")), "simhash-nodes")
-    groups = connected_components(links(nodes.select("__fp")), "a", "b").select(F.col("node").alias("__fp"), F.col("component").alias("__root"))
-    placed = staged(nodes.join(groups, "__fp", "left").select("__fp", "__least", F.coalesce("__root", "__fp").alias("__root")), "simhash-placed")
-    roots = staged(placed.groupBy("__root").agg(F.min("__least").alias("component_id")), "simhash-roots")
-    return staged(placed.join(roots, "__root").select("__fp", "component_id"), "simhash-components")
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the fingerprints (column fp, no repeats) that have links."""
+    return connected_components(links(fps.select(F.col("fp").alias("__fp"))), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
+def fingerprint_components(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) for each distinct fp of rows (own, fp): the least `own` reachable."""
+    nodes = staged(rows.groupBy("fp").agg(F.min("own").alias("least")), "simhash-nodes")
+    placed = staged(nodes.join(_components(nodes), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+    roots = staged(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
+    return staged(placed.join(roots, "root").select("fp", "component_id"), "simhash-components")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    rows = staged(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"]), "simhash-rows")
-    found = fingerprint_components(rows, "doc_id")
-    return rows.join(found, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = staged(with_fingerprints(docs, named(doc_id), text), "simhash-rows")
+    return rows.join(fingerprint_components(rows), "fp").select(F.col("own").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the row with the least id (rows without
-    an id last), and of rows that tie the first one written. Columns and their order stay."""
-    rows = staged(with_fingerprints(docs, text).withColumn("__row", F.monotonically_increasing_id()), "simhash-documents")
-    keys = rows.select("__row", F.col(doc_id).alias("__id"), "__fp")
-    nodes = staged(keys.groupBy("__fp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")), "simhash-nodes")
-    groups = connected_components(links(nodes.select("__fp")), "a", "b").select(F.col("node").alias("__fp"), F.col("component").alias("__root"))
-    kept = nodes.join(groups, "__fp", "left").groupBy(F.coalesce("__root", "__fp").alias("__root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    an id last), and of rows that tie the first one written. Columns and their order stay, whatever their names."""
+    rows = staged(with_fingerprints(docs, F.struct(*map(named, docs.columns)), text).withColumn("row", F.monotonically_increasing_id()), "simhash-documents")
+    keys = rows.select("row", F.col("own").getField(doc_id).alias("id"), "fp")
+    nodes = staged(keys.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")), "simhash-nodes")
+    kept = nodes.join(_components(nodes), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     # the row numbers are the small side: hashing them spares a sort of whole texts
-    return rows.join(staged(kept, "simhash-kept").hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    return unpacked(rows.join(staged(kept, "simhash-kept").hint("shuffle_hash"), "row", "left_semi"))

@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers as P
 import tokenizers
+from pyspark.sql import functions as F
 
 from larder.llm import toxicity
 from tests.llm.test_pii import brute
@@ -46,6 +47,26 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed)
 
 
+def test_columns_of_any_name_pass_every_stage(spark, tmp_path):
+    """Names that the stages use inside are the user's here."""
+    import corpus_pipeline
+
+    sf_dir, names = "/root/testdata/sf0.001", ["__email", "__spans", "__found", "__row", "__fp", "__score", "__text", "__group", "own", "fp", "row", "score", "spans", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).unionByName(spark.createDataFrame([(10**6, None, None, None, None), (None, "", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for n in names:
+        docs = docs.withColumn(n, F.concat_ws("-", F.lit(n), F.col("doc_id").cast("string")))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        for r in docs.collect():
+            assert all(r[n] == "-".join([n, *([str(r.doc_id)] if r.doc_id is not None else [])]) for n in names), name
+    assert docs.count() > 20
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
 def test_registered():
     import __spark_entry__ as entry
 
