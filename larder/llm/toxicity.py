@@ -9,7 +9,7 @@ fold, the first by a hash of their id, one text of each (of several the one whos
 most `MOST_TERMS` terms. Only their hashed terms reach the driver. Terms are trained if they alone
 tell the label apart (a chi-squared level), or if they do so together with another frequent term
 (`_paired`), whether or not they tell anything alone. The level, whether prefixes count, and the number of
-epochs are chosen by the loss on every fifth row of that sample; the machine is then fitted on all of it. The
+epochs are chosen by cross-validation in FOLDS parts of that sample; the machine is then fitted on all of it. The
 held out fold takes no part in any of this. Scoring reads every whole text in Arrow batches with
 the model broadcast (fixed size: 2**BITS x (FACTORS + 1) floats).
 
@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ FACTORS = 4
 SAMPLE = 8_000
 MOST_TERMS = 8_192  # of a sampled row, the least by hash
 MIN_ROWS = 3  # sampled rows that a hashed term needs, else it stays at zero
-LEVELS = (6.63, 10.83, 20.0)  # chi-squared that a term needs against the label: by chance in 100, 1,000 and 100,000 one
-FREQUENT = 1_024  # terms whose pairs are looked at
-PAIR_LEVEL = 40.0  # chi-squared of a pair: beyond chance for half a million pairs
-EPOCHS = 40
+LEVELS = (6.63, 10.83, 20.0)  # chi-squared that a term needs against the label: by chance one in 100, 1,000, 100,000
+FREQUENT = 768  # terms whose pairs are looked at
+PAIR_LEVEL = 40.0  # chi-squared of a pair: beyond chance for 300,000 pairs
+EPOCHS = 30
+FOLDS = 3  # parts of the sample that settings are chosen by
 BATCH = 256
 RATE = 0.4
 DECAY = 1e-4
@@ -95,22 +97,29 @@ def fold(doc_id: Column) -> Column:
 class Rows:
     """Rows of terms, laid end to end."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
-        self.terms = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    def __init__(self, terms: np.ndarray, start: np.ndarray):
+        self.terms, self.start, self.n = terms.astype(np.int32, copy=False), start, len(start) - 1
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(start))
+
+    @classmethod
+    def of(cls, rows) -> Rows:
+        rows = [np.asarray(r, np.int32) for r in rows]
+        return cls(np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        return (self.terms[a:b] for a, b in zip(self.start, self.start[1:], strict=False))
 
     def take(self, chosen: np.ndarray) -> Rows:
-        return Rows([self.terms[self.start[i] : self.start[i + 1]] for i in chosen])
+        return Rows.of(self.terms[self.start[i] : self.start[i + 1]] for i in chosen)
 
     def renumbered(self, told: np.ndarray) -> Rows:
         """Only the terms that are told, by a dense number."""
-        column, keep = np.cumsum(told) - 1, told[self.terms]
-        out = Rows([])
-        out.n, out.terms, out.row = self.n, column[self.terms[keep]], self.row[keep]
-        out.start = np.searchsorted(out.row, np.arange(self.n + 1))
-        return out
+        keep = told[self.terms]
+        counts = np.concatenate([[0], np.cumsum(np.bincount(self.row[keep], minlength=self.n))])
+        return Rows((np.cumsum(told, dtype=np.int32) - 1)[self.terms[keep]], counts)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, values, self.n)
@@ -119,7 +128,7 @@ class Rows:
 def _surprise(rows: Rows, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The chi-squared statistic of each term against the label."""
     n, k = rows.n, float(toxic.sum())
-    a = np.bincount(rows.terms, toxic[rows.row], len(seen))
+    a = np.bincount(rows.terms[toxic[rows.row] > 0], minlength=len(seen)).astype(np.float64)
     b = seen - a
     c, d = k - a, (n - k) - b
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * k * (n - k), 1e-9)
@@ -134,16 +143,20 @@ def _paired(rows: Rows, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
     often = np.sort(often[seen[often] <= 0.99 * rows.n])
     if not len(often):
         return out
-    place = np.full(len(seen), -1)
+    place = np.full(len(seen), -1, np.int32)
     place[often] = np.arange(len(often))
-    at = place[rows.terms]
-    x = np.zeros((rows.n, len(often)), np.float32)
-    x[rows.row[at >= 0], at[at >= 0]] = 1
-    x -= x.mean(axis=0)
+    size, mean = len(often), seen[often].astype(np.float32) / rows.n
     y = (toxic - toxic.mean()).astype(np.float32)
-    together = x.T @ (x * y[:, None])
-    x *= x
-    spread = x.T @ x  # the sum of squares of the products
+    together, spread = np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
+    for k in range(0, rows.n, 1000):
+        part = slice(rows.start[k], rows.start[min(k + 1000, rows.n)])
+        at, row = place[rows.terms[part]], rows.row[part] - k
+        x = np.zeros((min(1000, rows.n - k), size), np.float32)
+        x[row[at >= 0], at[at >= 0]] = 1
+        x -= mean
+        together += x.T @ (x * y[k : k + 1000, None])
+        x *= x
+        spread += x.T @ x  # the sum of squares of the products
     level = together**2 / np.maximum(spread * (y**2).mean(), 1e-9)
     np.fill_diagonal(level, 0)
     out[often] = level.max(axis=1) >= PAIR_LEVEL
@@ -191,46 +204,66 @@ class _Fit:
         return Machine(self.b, weights, factors)
 
 
-def _told(rows: Rows, toxic: np.ndarray, level: float, prefixes: bool) -> np.ndarray:
-    """The terms to train."""
-    seen = np.bincount(rows.terms, minlength=1 << BITS)
-    told = (seen >= MIN_ROWS) & ((_surprise(rows, toxic, seen) >= level) | _paired(rows, toxic, seen))
-    if not told.any():
-        told = seen >= MIN_ROWS
-    if not prefixes:
-        told[HALF:] = False
-    return told
+class _Terms:
+    """What is known of the terms of some rows, for any level."""
 
+    def __init__(self, rows: Rows, toxic: np.ndarray):
+        self.seen = np.bincount(rows.terms, minlength=1 << BITS)
+        self.surprise, self.paired = _surprise(rows, toxic, self.seen), _paired(rows, toxic, self.seen)
+
+    def told(self, level: float, prefixes: bool) -> np.ndarray:
+        """The terms to train."""
+        told = (self.seen >= MIN_ROWS) & ((self.surprise >= level) | self.paired)
+        if not told.any():
+            told = self.seen >= MIN_ROWS
+        if not prefixes:
+            told[HALF:] = False
+        return told
 
-def choose(rows: Rows, toxic: np.ndarray, seed: int) -> tuple[float, bool, int]:
-    """(level, prefixes, epochs) of the least loss on every fifth row, fitted on the others: the level with
-    prefixes first, then whether that level does better without them."""
-    check = np.arange(rows.n) % 5 == 4
-    if min(toxic[check].sum(), (1 - toxic[check]).sum()) < 5:
-        return LEVELS[1], True, EPOCHS // 2
-    own, other = rows.take(np.flatnonzero(~check)), rows.take(np.flatnonzero(check))
 
-    def tried(level: float, prefixes: bool) -> tuple[float, float, bool, int]:
-        told = _told(own, toxic[~check], level, prefixes)
-        fit, checked, losses = _Fit(own, toxic[~check], told, seed), other.renumbered(told), []
-        for _ in range(EPOCHS):
-            fit.epoch()
-            losses.append(float(np.logaddexp(0, np.where(toxic[check] > 0, -1, 1) * fit.margins(checked)).mean()))
-        return min(losses), level, prefixes, int(np.argmin(losses)) + 1
+def _ranked(margins: np.ndarray, toxic: np.ndarray) -> float:
+    """The share of pairs of a toxic and a clean row whose margins are in order; ties count half."""
+    values, place, count = np.unique(margins, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    k = toxic.sum()
+    return float((rank[toxic > 0].sum() - k * (k + 1) / 2) / (k * (len(toxic) - k)))
 
-    best = min(tried(level, True) for level in LEVELS)
-    return min(best, tried(best[1], False))[1:]
 
+def choose(rows: Rows, toxic: np.ndarray, seed: int) -> tuple[float, bool, int]:
+    """(level, prefixes, epochs). The rows are cut into FOLDS parts, each scored by a machine of the others. Of each
+    setting that number of epochs counts which has the least loss, and of the settings that which
+    ranks the rows best: the level with prefixes first, then whether that level does better without them."""
+    if min(toxic.sum(), (1 - toxic).sum()) < 5 * FOLDS:
+        return LEVELS[1], True, EPOCHS // 2
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
+    def tried(settings: list[tuple[float, bool]]) -> list[tuple[float, float, bool, int]]:
+        margins = np.zeros((len(settings), EPOCHS, rows.n), np.float32)
+        for k in range(FOLDS):
+            check = np.arange(rows.n) % FOLDS == k
+            own, other = rows.take(np.flatnonzero(~check)), rows.take(np.flatnonzero(check))
+            about = _Terms(own, toxic[~check])
+            for i, (level, prefixes) in enumerate(settings):
+                told = about.told(level, prefixes)
+                fit, checked = _Fit(own, toxic[~check], told, seed), other.renumbered(told)
+                for e in range(EPOCHS):
+                    fit.epoch()
+                    margins[i, e, check] = fit.margins(checked)
+        losses = np.logaddexp(0, np.where(toxic > 0, -1, 1) * margins).sum(axis=2)
+        return [(_ranked(margins[i, e], toxic), level, prefixes, int(e) + 1) for i, ((level, prefixes), e) in enumerate(zip(settings, losses.argmin(axis=1), strict=True))]
+
+    best = max(tried([(level, True) for level in LEVELS]))
+    return max(best, tried([(best[1], False)])[0])[1:]
+
+
+def train(rows: Rows | list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     """A machine by the settings that suit the rows; their order is shuffled once, the same for equal rows."""
     size = 1 << BITS
     if not len(rows) or len(np.unique(toxic)) < 2:
         return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32), False)
     order = np.random.default_rng(seed).permutation(len(rows))
-    own, toxic = Rows(rows).take(order), np.asarray(toxic, np.float64)[order]
+    own, toxic = (rows if isinstance(rows, Rows) else Rows.of(rows)).take(order), np.asarray(toxic, np.float64)[order]
     level, prefixes, epochs = choose(own, toxic, seed)
-    fit = _Fit(own, toxic, _told(own, toxic, level, prefixes), seed)
+    fit = _Fit(own, toxic, _Terms(own, toxic).told(level, prefixes), seed)
     for _ in range(epochs):
         fit.epoch()
     return fit.machine()
@@ -255,11 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     known = own.join(F.broadcast(chosen), "id").select("id", "toxic", F.xxhash64("text").alias("order"), "text")  # at most `sample` rows are broadcast
     hashed = known.mapInArrow(_hashed, known.select("id", "toxic", "order", F.array().cast("array<int>").alias("terms")).schema)
     # a repeated id counts once, so that no more than `sample` rows are gathered
-    rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min_by("terms", F.struct("order", "terms")).alias("terms")).select("toxic", "terms").toPandas()
-    terms = [np.asarray(t, np.int32) for t in rows["terms"]]
-    # the order in which rows arrive must not matter
-    order = sorted(range(len(terms)), key=lambda i: (terms[i].tobytes(), rows["toxic"].iloc[i]))
-    return train([terms[i] for i in order], rows["toxic"].to_numpy(np.float64)[order])
+    rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("order", "terms")).alias("least")).select("toxic", "least.order", "least.terms")
+    # the order in which rows arrive must not matter; the ids take no part
+    got = rows.toArrow().sort_by([("order", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    lists = got.column("terms").combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return train(Rows(lists.flatten().to_numpy(zero_copy_only=False), start), got.column("toxic").to_numpy().astype(np.float64))
 
 
 def _scored(rows: DataFrame, machine: Machine) -> DataFrame:
