@@ -51,6 +51,7 @@ MISSED = 1e-4  # of the links at the threshold: the share that may meet in no ta
 LEAST_BITS, BUCKET = 8, 64  # bits of a table at least; rows of the largest label that a bucket should have
 
 
+@lru_cache(maxsize=64)
 def rotation(dim: int, number: int = 0) -> np.ndarray:
     """dim x dim, orthonormal, the same everywhere."""
     q, r = np.linalg.qr(np.random.default_rng([SEED + dim, number]).normal(size=(dim, dim)))
@@ -149,27 +150,41 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _bucket_links(x: np.ndarray, codes: np.ndarray, first: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the links of a bucket or of a pair of its tiles, whose first has `first` rows; pairs that met in an
+    earlier table were counted there."""
+    if first == len(x):
+        i, j = colliding_pairs(x, None, cosine)
+    else:
+        i, j = colliding_pairs(x[:first], x[first:], cosine)
+        j = j + first
+    new = np.ones(len(i), bool)
+    for s in range(0, len(i), 100_000):
+        new[s : s + 100_000] = ~(codes[i[s : s + 100_000]] == codes[j[s : s + 100_000]]).any(axis=1)
+    return i[new], j[new]
+
+
 def _linked(cosine: float):
+    """A group holds many buckets, and pairs of tiles of large ones."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
         table = key[2].as_py()
-        row, side = group.column("row").to_numpy(), group.column("side").to_numpy()
-        order = np.lexsort((row, side))
+        row, side, code, low, high = (group.column(c).to_numpy() for c in ("row", "side", "code", "low", "high"))
+        order = np.lexsort((row, side, high, low, code))
 
         def matrix(name):
             return group.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)[order]
 
         x, codes, weight = unit_rows(matrix("v")), matrix("codes")[:, :table], group.column("copies").to_numpy()[order]
-        row, side = row[order], side[order]
-        n = int((side == 0).sum())
-        if n == len(row):
-            i, j = colliding_pairs(x, None, cosine)
-        else:
-            i, j = colliding_pairs(x[:n], x[n:], cosine)
-            j = j + n
-        new = np.ones(len(i), bool)
-        for s in range(0, len(i), 100_000):  # pairs that met in an earlier table were counted there
-            new[s : s + 100_000] = ~(codes[i[s : s + 100_000]] == codes[j[s : s + 100_000]]).any(axis=1)
-        i, j = i[new], j[new]
+        row, side, code, low, high = (c[order] for c in (row, side, code, low, high))
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):
+            i, j = _bucket_links(x[a:b], codes[a:b], int((side[a:b] == 0).sum()), cosine)
+            ii.append(i + a)
+            jj.append(j + a)
+        # the rows of a bucket that has several tiles come once for each pair of them
+        i, j = np.concatenate(ii), np.concatenate(jj)
         counts = np.bincount(i, weight[j], len(row)) + np.bincount(j, weight[i], len(row))
         root = forest(len(row), i, j)
         own = np.flatnonzero(counts)
@@ -194,7 +209,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     # a tile meets itself and every other tile of its bucket, as the first or the second of the pair
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("row", *keys, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    pairs = met.join(coded.select("row", "v", "codes", "copies"), "row").groupBy(*keys, "low", "high")
+    # many buckets go to one group, as a group has a price of its own
+    deal = F.pmod(F.xxhash64("code", "low", "high"), F.lit(max(1, -(-largest // tile))))
+    pairs = met.join(coded.select("row", "v", "codes", "copies"), "row").groupBy("label", "dim", "table", deal.alias("deal"))
     found = staged(pairs.applyInArrow(_linked(cosine), "row long, n long, root long"), "vector-links")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     groups = connected_components(found, "row", "root").select(F.col("node").alias("row"), "component")
