@@ -181,3 +181,13 @@ def test_stream_equals_batch_after_several_batches(spark, tmp_path):
     s = streams.read_stream(spark, str(tmp_path / "in"), files_per_batch=1)
     got = sorted(map(tuple, streams.upsert_items(s, str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, dedup.fold_captures(e).collect()))
+
+
+def test_benchmark_rows_come_back(spark, tmp_path):
+    from larder.sources import library_io
+
+    df = spark.createDataFrame([(i, None if i % 2 else f"line\n{i}") for i in range(5)], "item_id long, text string")
+    library_io.write_bench(df, str(tmp_path / "rows"))
+    assert sorted(map(tuple, library_io.read_bench(spark, str(tmp_path / "rows"), "item_id long, text string").collect())) == sorted(map(tuple, df.collect()))
+    (tmp_path / "array.json").write_text('[{"item_id": 1,\n "text": "a"}, {"item_id": 2}]')
+    assert library_io.read_bench(spark, str(tmp_path / "array.json"), "item_id long, text string", array=True).count() == 2
