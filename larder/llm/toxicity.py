@@ -6,7 +6,7 @@ harmless alone and not together.
 
 Training takes a documented, bounded sample: at most `sample` labelled ids outside the held out
 fold, the first by a hash of their id, one text of each (of several the one whose hash is least) and of that at
-most `MOST_TERMS` terms. Only their hashed terms reach the driver. Terms are trained if they alone
+most `MOST_TERMS` terms. One task trains on their hashed terms; only the model reaches the driver. Terms are trained if they alone
 tell the label apart (a chi-squared level), or if they do so together with another frequent term
 (`_paired`), whether or not they tell anything alone. The level, whether prefixes count, and the number of
 epochs are chosen by cross-validation in FOLDS parts of that sample; the machine is then fitted on all of it. The
@@ -51,6 +51,7 @@ DECAY = 1e-4
 PREFIXES = (4, 5, 6)
 KNOWN = 200_000  # words whose hash a worker remembers
 HALF = 1 << (BITS - 1)
+MODEL = "bias double, terms array<int>, weights array<float>, factors array<float>"  # of the terms that are told
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -276,8 +277,21 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("order"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "order", "terms"])
 
 
+def _trained(sample: pa.Table) -> pa.Table:
+    """One row of MODEL from the sample's rows (toxic, order, terms), none if they can't be learned from."""
+    # the order in which rows arrive must not matter; the ids take no part
+    got = sample.sort_by([("order", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    lists = got.column("terms").combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    m = train(Rows(lists.flatten().to_numpy(zero_copy_only=False), start), got.column("toxic").to_numpy().astype(np.float64))
+    at = np.flatnonzero(m.told).astype(np.int32)
+    made = [pa.array([m.bias], pa.float64()), pa.array([at], pa.list_(pa.int32())), pa.array([m.weights[at]], pa.list_(pa.float32())), pa.array([m.factors[at].ravel()], pa.list_(pa.float32()))]
+    return pa.Table.from_arrays(made, ["bias", "terms", "weights", "factors"]).slice(0, int(m.fitted))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
-    """A machine from at most `sample` labelled ids (doc_id, toxic) of the learning folds, one text of each."""
+    """A machine from at most `sample` labelled ids (doc_id, toxic) of the learning folds, one text of each. One task
+    trains on the hashed sample, which is bounded; the driver receives the model alone."""
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isNotNull() & (fold(F.col("id")) != 0))
@@ -287,13 +301,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     own = docs.select(named(doc_id).alias("id"), named(text).alias("text"))
     known = own.join(F.broadcast(chosen), "id").select("id", "toxic", F.xxhash64("text").alias("order"), "text")  # at most `sample` rows are broadcast
     hashed = known.mapInArrow(_hashed, known.select("id", "toxic", "order", F.array().cast("array<int>").alias("terms")).schema)
-    # a repeated id counts once, so that no more than `sample` rows are gathered
+    # a repeated id counts once, so that no more than `sample` rows go to the task that trains
     rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("order", "terms")).alias("least")).select("toxic", "least.order", "least.terms")
-    # the order in which rows arrive must not matter; the ids take no part
-    got = rows.toArrow().sort_by([("order", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    lists = got.column("terms").combine_chunks()
-    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return train(Rows(lists.flatten().to_numpy(zero_copy_only=False), start), got.column("toxic").to_numpy().astype(np.float64))
+    found = rows.groupBy().applyInArrow(_trained, MODEL).collect()
+    size = 1 << BITS
+    weights, factors = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
+    if not found:
+        return Machine(0.0, weights, factors, False)
+    model = found[0]
+    weights[model.terms], factors[model.terms] = model.weights, np.array(model.factors, np.float32).reshape(-1, FACTORS)
+    return Machine(model.bias, weights, factors)
 
 
 def _scored(rows: DataFrame, machine: Machine) -> DataFrame:
