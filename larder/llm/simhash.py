@@ -163,10 +163,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     entries = fps.mapInArrow(index, "key int, a long")
     # at most PARTS * 2**WIDTH counts, however many fingerprints there are
-    seen = entries.groupBy("key").count().toPandas()
+    seen = entries.groupBy("key").count().toArrow()
     counts = np.zeros((PARTS, 1 << WIDTH))
-    keys = seen["key"].to_numpy(np.int64)
-    counts[keys >> WIDTH, keys & ((1 << WIDTH) - 1)] = seen["count"]
+    keys = seen["key"].to_numpy().astype(np.int64)
+    counts[keys >> WIDTH, keys & ((1 << WIDTH) - 1)] = seen["count"].to_numpy()
     balls = fps.sparkSession.sparkContext.broadcast(np.stack([_ball_counts(c) for c in counts]).astype(np.float32))
 
     def probes(batches):

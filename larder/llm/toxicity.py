@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -46,6 +47,7 @@ PAIR_LEVEL = 40.0  # chi-squared of a pair: beyond chance for 300,000 pairs
 EPOCHS = 30
 FOLDS = 3  # parts of the sample that settings are chosen by
 BATCH = 256
+BLOCK = 500_000  # numbers counted at once
 RATE = 0.4
 DECAY = 1e-4
 PREFIXES = (4, 5, 6)
@@ -94,12 +96,23 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _counts(values: np.ndarray, size: int) -> np.ndarray:
+    """How often each number occurs, in blocks: bincount makes a wide copy of what it is given."""
+    out = np.zeros(size, np.int64)
+    for k in range(0, len(values), BLOCK):
+        out += np.bincount(values[k : k + BLOCK], minlength=size)
+    return out
+
+
 class Rows:
     """Rows of terms, laid end to end."""
 
     def __init__(self, terms: np.ndarray, start: np.ndarray):
         self.terms, self.start, self.n = terms.astype(np.int32, copy=False), start, len(start) - 1
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(start))
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
 
     @classmethod
     def of(cls, rows) -> Rows:
@@ -113,13 +126,20 @@ class Rows:
         return (self.terms[a:b] for a, b in zip(self.start, self.start[1:], strict=False))
 
     def take(self, chosen: np.ndarray) -> Rows:
-        return Rows.of(self.terms[self.start[i] : self.start[i + 1]] for i in chosen)
+        start = np.concatenate([[0], np.cumsum(self.start[chosen + 1] - self.start[chosen])]).astype(np.int64)
+        terms = np.empty(start[-1], np.int32)
+        for i, a, b in zip(chosen, start, start[1:], strict=False):
+            terms[a:b] = self.terms[self.start[i] : self.start[i + 1]]
+        return Rows(terms, start)
+
+    def part(self, a: int, b: int) -> Rows:
+        return Rows(self.terms[self.start[a] : self.start[b]], self.start[a : b + 1] - self.start[a])
 
     def renumbered(self, told: np.ndarray) -> Rows:
         """Only the terms that are told, by a dense number."""
         keep = told[self.terms]
-        counts = np.concatenate([[0], np.cumsum(np.bincount(self.row[keep], minlength=self.n))])
-        return Rows((np.cumsum(told, dtype=np.int32) - 1)[self.terms[keep]], counts)
+        start = np.concatenate([[0], np.cumsum(_counts(self.row[keep], self.n))])
+        return Rows((np.cumsum(told, dtype=np.int32) - 1)[self.terms[keep]], start)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, values, self.n)
@@ -128,7 +148,7 @@ class Rows:
 def _surprise(rows: Rows, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The chi-squared statistic of each term against the label."""
     n, k = rows.n, float(toxic.sum())
-    a = np.bincount(rows.terms[toxic[rows.row] > 0], minlength=len(seen)).astype(np.float64)
+    a = _counts(rows.terms[(toxic > 0)[rows.row]], len(seen)).astype(np.float64)
     b = seen - a
     c, d = k - a, (n - k) - b
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * k * (n - k), 1e-9)
@@ -174,9 +194,13 @@ class _Fit:
         self.gw, self.gv, self.gb = np.full(self.n, 1e-2), np.full((self.n, FACTORS), 1e-2), 1e-2
 
     def margins(self, rows: Rows) -> np.ndarray:
-        vt = self.v[rows.terms]
-        square = sum(rows.sums(vt[:, f]) ** 2 for f in range(FACTORS)) - rows.sums((vt * vt).sum(axis=1))
-        return self.b + rows.sums(self.w[rows.terms]) + 0.5 * square
+        out = []
+        for k in range(0, rows.n, BATCH):
+            own = rows.part(k, min(k + BATCH, rows.n))
+            vt = self.v[own.terms]
+            square = sum(own.sums(vt[:, f]) ** 2 for f in range(FACTORS)) - own.sums((vt * vt).sum(axis=1))
+            out.append(self.b + own.sums(self.w[own.terms]) + 0.5 * square)
+        return np.concatenate(out or [np.zeros(0)])
 
     def epoch(self) -> None:
         order = self.rng.permutation(self.rows.n)
@@ -208,7 +232,7 @@ class _Terms:
     """What is known of the terms of some rows, for any level."""
 
     def __init__(self, rows: Rows, toxic: np.ndarray):
-        self.seen = np.bincount(rows.terms, minlength=1 << BITS)
+        self.seen = _counts(rows.terms, 1 << BITS)
         self.surprise, self.paired = _surprise(rows, toxic, self.seen), _paired(rows, toxic, self.seen)
 
     def told(self, level: float, prefixes: bool) -> np.ndarray:
@@ -276,6 +300,14 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("order"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "order", "terms"])
 
 
+def _in_order(got: pa.Table) -> tuple[Rows, np.ndarray]:
+    """Rows and labels, by the hash of the text: the order in which rows arrive must not matter; the ids take no part."""
+    order = pc.sort_indices(got.select(["order", "toxic"]), [("order", "ascending"), ("toxic", "ascending")]).to_numpy().astype(np.int64)
+    lists = got.column("terms").combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return Rows(lists.flatten().to_numpy(zero_copy_only=False), start).take(order), got.column("toxic").to_numpy()[order].astype(np.float64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
     """A machine from at most `sample` labelled ids (doc_id, toxic) of the learning folds, one text of each."""
     chosen = (
@@ -289,11 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     hashed = known.mapInArrow(_hashed, known.select("id", "toxic", "order", F.array().cast("array<int>").alias("terms")).schema)
     # a repeated id counts once, so that no more than `sample` rows are gathered
     rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("order", "terms")).alias("least")).select("toxic", "least.order", "least.terms")
-    # the order in which rows arrive must not matter; the ids take no part
-    got = rows.toArrow().sort_by([("order", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    lists = got.column("terms").combine_chunks()
-    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return train(Rows(lists.flatten().to_numpy(zero_copy_only=False), start), got.column("toxic").to_numpy().astype(np.float64))
+    return train(*_in_order(rows.toArrow()))
 
 
 def _scored(rows: DataFrame, machine: Machine) -> DataFrame:
