@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 DIM = 1536
 QUERY_BLOCK = 20_000  # queries broadcast at once
+PRODUCT = 4_000_000  # distances held at once
 KNOWN_GRAMS = 300_000  # grams whose bucket a worker remembers
 
 
@@ -98,72 +99,123 @@ def _matrix(rows: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _known(df: DataFrame, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", key: str = "segment_id", vector: str = "embedding", scope: str | None = None) -> DataFrame:
     """K1: (query_id, key, distance, rank): the exact k nearest by cosine distance, rounded to 6 digits, ties by key.
-    Null and zero vectors are left out; with `scope`, only rows of the query's scope count.
+    Null and zero vectors are left out; with `scope`, only rows of the query's scope count, and a null scope meets none.
 
-    Queries go out in broadcast blocks of QUERY_BLOCK rows; each task keeps its k best of every query, so the
-    shuffle carries k rows per query and task, and no pair of vectors ever becomes a row.
+    Queries go out in broadcast blocks of QUERY_BLOCK rows. Each task meets the rows of a scope with the queries of
+    that scope alone and keeps its k best of every query, so the shuffle carries k rows per query and task, and no
+    pair of vectors ever becomes a row.
     """
-    scopes = [scope] if scope else []
-    known = corpus.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(key), F.col(vector).alias("__v"), *scopes)
-    asked = queries.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)).select(query_id, F.col(vector).alias("__v"), *scopes)
+    met = F.col(scope) if scope else F.lit(0)
+    rows = _known(corpus, vector).select(F.col(key), F.col(vector).alias("__v"), met.alias("__s")).where(F.col("__s").isNotNull())
+    asked = _known(queries, vector).select(query_id, F.col(vector).alias("__v"), met.alias("__s")).where(F.col("__s").isNotNull())
+    return _k_nearest(asked, rows, k, query_id, key, lambda block, unit: [[s] for s in block["__s"].tolist()])
+
+
+def _k_nearest(asked: DataFrame, rows: DataFrame, k: int, query_id: str, key: str, scopes: Callable) -> DataFrame:
+    """The k nearest of each query among the rows whose __s is one of its scopes; `scopes` lists them for a block."""
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        found = _nearest(part.toPandas(), known, k, query_id, key, scope, asked.schema[query_id].dataType)
+        block = part.toPandas()
+        unit = _matrix(block["__v"].tolist()) if len(block) else np.zeros((0, 1))
+        found = _nearest(block[query_id].tolist(), unit, scopes(block, unit), rows, k, query_id, key, asked.schema[query_id].dataType)
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy(query_id).orderBy("distance", key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _nearest(block: pd.DataFrame, corpus: DataFrame, k: int, query_id: str, key: str, scope: str | None, id_type) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((block[query_id].tolist(), _matrix(block["__v"].tolist()) if len(block) else np.zeros((0, 1)), block[scope].to_numpy() if scope else None))
+def _best(found: list, k: int) -> tuple:
+    """The k best (query, distance, key) of each query, ties by key."""
+    query, distance, keys = (np.concatenate([f[n] for f in found]) for n in range(3))
+    order = np.lexsort((keys, distance, query))
+    query, distance, keys = query[order], distance[order], keys[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], distance[place < k], keys[place < k]
+
+
+def _nearest(ids: list, unit: np.ndarray, scopes: list, corpus: DataFrame, k: int, query_id: str, key: str, id_type) -> DataFrame:
+    asking: dict = {}
+    for i, wanted in enumerate(scopes):
+        for s in wanted:
+            asking.setdefault(s, []).append(i)
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, unit, {s: np.asarray(i) for s, i in asking.items()}))
     id_arrow, key_arrow = to_arrow_type(id_type), to_arrow_type(corpus.schema[key].dataType)
     schema = corpus.select(F.lit(None).cast(id_type).alias(query_id), F.col(key), F.lit(0.0).alias("distance")).schema
 
     def run(batches):
-        ids, q, own = shared.value
-        best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), object)
+        ids, q, asking = shared.value
+        best, bound = None, np.full(len(ids), np.inf)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            d = np.round(1 - q @ _matrix(batch.column("__v").to_pylist()).T, 6) + 0.0  # no negative zero
-            if own is not None:
-                d[own[:, None] != np.asarray(batch.column(scope).to_pylist(), object)[None, :]] = np.inf
-            keys = np.broadcast_to(np.asarray(batch.column(key).to_pylist(), object), d.shape)
-            d, keys = np.concatenate([best_d, d], axis=1), np.concatenate([best_k, keys], axis=1)
-            if d.shape[1] > k:
-                # all that tie with the k-th stay until the keys have decided
-                order = np.stack([np.lexsort((keys[i], d[i]))[:k] for i in range(len(ids))])
-                d, keys = np.take_along_axis(d, order, 1), np.take_along_axis(keys, order, 1)
-            best_d, best_k = d, keys
-        i, j = np.nonzero(np.isfinite(best_d))
-        if len(i):
-            columns = [pa.array([ids[x] for x in i], id_arrow), pa.array(best_k[i, j].tolist(), key_arrow), pa.array(best_d[i, j])]
-            yield pa.RecordBatch.from_arrays(columns, [query_id, key, "distance"])
+            vectors, keys = _matrix(batch.column("__v").to_pylist()), np.asarray(batch.column(key).to_pylist())
+            codes, values = pd.factorize(np.asarray(batch.column("__s").to_pylist(), object))
+            found = [best] if best else []
+            for code, value in enumerate(values):
+                who, rows = asking.get(value, ()), np.flatnonzero(codes == code)
+                step = max(1, PRODUCT // len(rows))
+                for part in (who[i : i + step] for i in range(0, len(who), step)):
+                    d = np.round(1 - q[part] @ vectors[rows].T, 6) + 0.0  # no negative zero
+                    cut = bound[part]
+                    if d.shape[1] > k:
+                        # all that tie with the k-th stay until the keys have decided
+                        cut = np.fmin(cut, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    i, j = np.nonzero(d <= cut[:, None])
+                    found.append((part[i], d[i, j], keys[rows[j]]))
+            if found:
+                best = _best(found, k)
+                full = np.bincount(best[0], minlength=len(ids)) == k
+                last = np.searchsorted(best[0], np.flatnonzero(full), "right") - 1
+                bound[full] = best[1][last]
+        if best and len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best[0]], id_arrow), pa.array(best[2].tolist(), key_arrow), pa.array(best[1])], [query_id, key, "distance"])
 
     return corpus.mapInArrow(run, schema)
 
 
-def ann(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 6, sample: int = 20_000, query_id: str = "query_id", key: str = "segment_id", vector: str = "embedding") -> DataFrame:
+def ann(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000, query_id: str = "query_id", key: str = "segment_id", vector: str = "embedding", recall: float = 0.95, trials: int = 500) -> DataFrame:
     """K2: as knn, approximately: vectors lie in k-means cells fitted on at most `sample` rows; a query looks into its
-    `probes` nearest cells. Every row is indexed. Cells meet in an equi-join that adaptive execution can split."""
-    unit = l2_normalize(corpus.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)), vector, "__v").select(F.col(key), "__v")
-    asked = l2_normalize(queries.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)), vector, "__q").select(query_id, "__q")
-    fitted = KMeans(k=cells, seed=1, featuresCol="__f", predictionCol="cell", maxIter=10).fit(unit.orderBy(F.xxhash64(key)).limit(sample).select(array_to_vector("__v").alias("__f")))
-    placed = fitted.transform(unit.withColumn("__f", array_to_vector("__v"))).select(key, "__v", "cell")
-    centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, map(float, c))).alias("c")) for i, c in enumerate(fitted.clusterCenters())])
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    near = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct((-dot(c["c"], F.col("__q"))).alias("d"), c["cell"].alias("cell")))), 1, probes)
-    met = asked.select(query_id, "__q", F.explode(near).alias("n")).select(query_id, "__q", F.col("n.cell").alias("cell")).join(placed, "cell")
-    found = met.select(query_id, key, (F.round(1 - dot(F.col("__q"), F.col("__v")), 6) + 0.0).alias("distance"))
-    order = Window.partitionBy(query_id).orderBy("distance", key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    `probes` nearest cells. Every row is indexed, and a cell of any size is read where it lies, so none needs one task.
+
+    Without `cells`, their number grows with the square root of the rows (at least 16, at most a cell for 20 sampled
+    rows). Without `probes`, the fewest are taken that find `recall` of the exact neighbours of at most `trials` queries.
+    """
+    rows, asked = _known(corpus, vector).select(F.col(key), F.col(vector).alias("__v")), _known(queries, vector).select(query_id, F.col(vector).alias("__v"))
+    count = rows.count()
+    if not count:
+        return _k_nearest(asked, rows.withColumn("__s", F.lit(0)), k, query_id, key, lambda block, unit: [[] for _ in unit])
+    cells = cells or max(16, min(round(count**0.5 / 4), sample // 20))
+    unit = l2_normalize(rows, "__v", "__u").withColumn("__f", array_to_vector("__u"))
+    fitted = KMeans(k=cells, seed=1, featuresCol="__f", predictionCol="__s", maxIter=10).fit(unit.orderBy(F.xxhash64(key)).limit(sample).select("__f"))
+    placed = fitted.transform(unit).select(key, "__v", "__s")
+    centres = np.asarray(fitted.clusterCenters())
+
+    def nearest_cells(unit: np.ndarray) -> np.ndarray:
+        return np.argsort((centres**2).sum(axis=1) - 2 * unit @ centres.T, axis=1, kind="stable")
+
+    if probes is None:
+        probes = _probes(asked.orderBy(F.xxhash64(query_id), query_id).limit(trials), rows, placed, k, query_id, key, recall, nearest_cells)
+    return _k_nearest(asked, placed, k, query_id, key, lambda block, unit: nearest_cells(unit)[:, :probes].tolist() if len(block) else [])
+
+
+def _probes(tried: DataFrame, rows: DataFrame, placed: DataFrame, k: int, query_id: str, key: str, recall: float, nearest_cells: Callable) -> int:
+    """How many cells hold `recall` of the exact neighbours of a few queries; at most k rows a query come back."""
+    exact = knn(tried, rows, k, query_id, key, "__v").select(query_id, key)
+    found = placed.select(key, "__s").join(F.broadcast(exact), key).select(query_id, "__s").toPandas()
+    block = tried.toPandas()
+    if not len(found):
+        return 1
+    order = nearest_cells(_matrix(block["__v"].tolist()))
+    line = {q: i for i, q in enumerate(block[query_id].tolist())}
+    place = np.argsort(order, axis=1)[[line[q] for q in found[query_id].tolist()], found["__s"].to_numpy(int)] + 1
+    return int(np.sort(place)[max(0, int(np.ceil(recall * len(place))) - 1)])
 
 
 def max_sim_rank(queries: DataFrame, frames: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:

@@ -135,6 +135,14 @@ def k2_ann(spark, sf_dir):
     return embed.ann(vector_queries(spark, sf_dir), corpus, 10)
 
 
+@plan(f"SELECT count(*) AS neighbours, true AS recall_reached FROM (SELECT row_number() OVER (PARTITION BY query_id ORDER BY distance, segment_id) AS r FROM ({_DISTANCE.format(key='segment_id')})) WHERE r <= 10")
+def k2_recall(spark, sf_dir):
+    """Of the exact neighbours of all queries, whether K2 finds nine in ten."""
+    exact, found = k1_knn(spark, sf_dir), k2_ann(spark, sf_dir).select("query_id", "segment_id", F.lit(True).alias("hit"))
+    met = exact.join(found, ["query_id", "segment_id"], "left")
+    return met.agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @plan(f"""WITH near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, frame_id) AS r FROM ({_DISTANCE.format(key='frame_id')})),
     best AS (SELECT query_id, frame_id // 5 AS memory_id, round(max(1 - distance), 6) AS similarity FROM near WHERE r <= 50 GROUP BY ALL)
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS INTEGER) AS rank FROM best""")

@@ -50,6 +50,45 @@ def test_knn_equals_brute_force_in_blocks(spark, monkeypatch):
     assert len(exact & approx) >= 0.9 * len(exact)
 
 
+def test_knn_within_scopes_with_ties(spark, monkeypatch):
+    """A hot scope, equal vectors, text keys, null scopes and small blocks of distances, against plain loops."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 4)), 5, axis=0)
+    users = [None if i % 41 == 0 else "hot" if i % 3 == 0 else f"u{i % 7}" for i in range(300)]
+    corpus = spark.createDataFrame([(f"s{i:03d}", users[i], [float(c) for c in v]) for i, v in enumerate(x)], "segment_id string, user_id string, embedding array<double>").repartition(4)
+    queries = corpus.where("substr(segment_id, 4, 1) = '0'").withColumnRenamed("segment_id", "query_id")
+    monkeypatch.setattr(embed, "PRODUCT", 200)
+    got: dict = {}
+    for r in embed.knn(queries, corpus, 6, scope="user_id").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.segment_id, r.distance))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 300, 10):
+        d = np.round(1 - u @ u[q], 6) + 0.0
+        mine = sorted((i for i in range(300) if users[q] and users[i] == users[q]), key=lambda i: (d[i], i))[:6]
+        if mine:
+            want[f"s{q:03d}"] = [(f"s{i:03d}", d[i]) for i in mine]
+    assert {q: [s for s, _ in v] for q, v in got.items()} == {q: [s for s, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 2e-6 for q in want for (_, a), (_, b) in zip(got[q], want[q]))
+
+
+def test_ann_reaches_its_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))  # no clusters: the hard case
+    corpus = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16)], "segment_id int, embedding array<double>").repartition(5)
+    queries = corpus.where("segment_id % 20 = 0").withColumnRenamed("segment_id", "query_id")
+    exact = {(r.query_id, r.segment_id) for r in embed.knn(queries, corpus, 10).collect()}
+    found = {(r.query_id, r.segment_id) for r in embed.ann(queries, corpus, 10, trials=40).collect()}
+    assert len(exact) == 1000 and len(exact & found) >= 0.9 * len(exact)
+    few = {(r.query_id, r.segment_id) for r in embed.ann(queries, corpus, 10, probes=1).collect()}
+    assert len(exact & few) < 0.9 * len(exact)  # the bar tells searches apart
+    assert embed.ann(queries, corpus.where("false"), 10).collect() == embed.ann(queries.where("false"), corpus, 10).collect() == []
+
+
 def test_cover_density(spark):
     seg = spark.createDataFrame([(1, 1, "u", "red bike near the blue red shop bike"), (2, 2, "u", "bike and then red"), (3, 3, "u", "red only")], "segment_id int, memory_id int, user_id string, content string")
     q = spark.createDataFrame([(7, "u", "red bike"), (8, "u", "only"), (9, "u", ""), (10, "u", "absent red")], "query_id int, user_id string, q string")
