@@ -1,19 +1,26 @@
 """Rule classification and the category tree.
 
-Rules are data (`Rule`), a parameter of every operator that scores: their number is the size of a
-configuration, not of the corpus, so their terms travel as one literal array.
+Rules are data: a tuple of `Rule`, or a table of any size with the same columns (`RULES_SCHEMA`; `rule` orders ties).
+Their terms become one automaton for phrases and one dictionary for words, in blocks of at most TERM_BYTES, so a text is
+read once for each block whatever the number of rules, and no text meets a term that it does not hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # How much a field counts, and what a kind of term counts.
 FIELD_WEIGHTS = {"title": 6.0, "caption": 4.0, "creator": 2.0, "tags": 3.0, "ocr": 2.3, "speech": 1.5, "article": 2.0, "summary": 1.0, "visual": 1.8}
 FACTORS = {"strong": 2.0, "phrase": 1.1, "keyword": 0.7}
+TERM_BYTES = 8 << 20  # of terms that one automaton holds: what a task keeps, and what the driver sends at once
+RULES_SCHEMA = "rule int, path array<string>, strong array<string>, keywords array<string>, min_score double, fallback boolean"
 
 
 @dataclass(frozen=True)
@@ -43,11 +50,7 @@ EXAMPLE_RULES = (
 
 def norm(c: Column) -> Column:
     """Lower case, other than word characters and + . # ' _ - as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+.#'_-]+", " "))
-
-
-def norm_term(term: str) -> str:
-    return " ".join("".join(ch if ch.isascii() and (ch.isalnum() or ch in "+.#'_-") else " " for ch in term.lower()).split())
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w+.#'-]+", " "))
 
 
 def taxonomy_fields(memories: DataFrame, items: DataFrame, tags: DataFrame, segments: DataFrame) -> DataFrame:
@@ -59,39 +62,112 @@ def taxonomy_fields(memories: DataFrame, items: DataFrame, tags: DataFrame, segm
     tagged = tags.groupBy("memory_id").agg(F.array_sort(F.collect_set("tag")).alias("t")).select("memory_id", F.lit("tags").alias("field"), norm(F.array_join("t", " ")).alias("text"))
     # contents are normalized before they are gathered; a memory has few segments
     parts = segments.groupBy("memory_id", F.col("modality").alias("field")).agg(F.sort_array(F.collect_list(F.struct("segment_id", norm(F.col("content")).alias("c")))).alias("rows"))
-    spoken = parts.select("memory_id", "field", norm(F.array_join(F.transform("rows", lambda r: r["c"]), " ")).alias("text"))
+    spoken = parts.select("memory_id", "field", F.array_join(F.filter(F.transform("rows", lambda r: r["c"]), lambda c: c != ""), " ").alias("text"))
     kept = own.unionByName(tagged).join(spoken.select("memory_id", "field"), ["memory_id", "field"], "left_anti")
     return kept.unionByName(spoken).where("text <> ''")
 
 
-def _terms(rules: tuple[Rule, ...]) -> list[tuple[int, str, str]]:
-    out = []
-    for i, r in enumerate(rules):
-        out += [(i, "strong", norm_term(t)) for t in r.strong]
-        out += [(i, "phrase" if " " in norm_term(t) else "keyword", norm_term(t)) for t in r.keywords]
-    return [t for t in out if t[2]]
-
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """A tuple of rules as a table, in its order."""
+    return spark.createDataFrame([(i, list(r.path), list(r.strong), list(r.keywords), r.min_score, r.fallback) for i, r in enumerate(rules)], RULES_SCHEMA)
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rule table of a file or folder of JSON lines with the columns of RULES_SCHEMA; what a line leaves out is
+    empty, 3.0 or false. A number that two rules share, or a rule without a path, is an error."""
+    read = spark.read.schema(RULES_SCHEMA).json(path)
+    none = F.array().cast("array<string>")
+    table = read.select("rule", "path", F.coalesce("strong", none).alias("strong"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("min_score", F.lit(3.0)).alias("min_score"), F.coalesce("fallback", F.lit(False)).alias("fallback"))
+    bad = table.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("path"), F.lit(0)) <= 0).alias("bare")).where("rule IS NULL OR n > 1 OR bare > 0").first()
+    if bad is not None:
+        raise ValueError(f"rule {bad.rule}: {bad.n} rows, {bad.bare} of them without a path")
+    return table
+
+
+def _as_table(spark: SparkSession, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+
+
+def rule_terms(rules: DataFrame) -> DataFrame:
+    """(rule, kind, term) of a rule table: normalized terms, each as often as its rule lists it; keywords of several words
+    are phrases, terms without a word are left out."""
+    strong = rules.select("rule", F.lit("strong").alias("kind"), F.explode("strong").alias("t"))
+    single = rules.select("rule", F.lit("keyword").alias("kind"), F.explode("keywords").alias("t"))
+    all_ = strong.unionByName(single).select("rule", "kind", norm(F.col("t")).alias("term")).where("term <> ''")
+    return all_.withColumn("kind", F.when((F.col("kind") == "keyword") & F.contains("term", F.lit(" ")), "phrase").otherwise(F.col("kind")))
+
+
+def _matcher(terms: list) -> Callable[[str], dict]:
+    """From (rule, kind, term) a function of a normalized text: rule to the summed factors of its terms in the text."""
+    words, phrases = {}, {}
+    for rule, kind, term in terms:
+        (words if kind == "keyword" else phrases).setdefault(term, []).append((rule, FACTORS[kind]))
+    automaton = ahocorasick.Automaton()
+    for term, told in phrases.items():
+        automaton.add_word(term, told)
+    if phrases:
+        automaton.make_automaton()
+
+    def match(text: str) -> dict:
+        # a blank-separated part is one word, without the marks before its first letter or digit
+        found = [words[w] for w in {w.lstrip("+.#'_-") for w in set(text.split(" "))} if w in words]
+        if phrases:
+            found += {id(told): told for _, told in automaton.iter(text)}.values()
+        out: dict = {}
+        for told in found:
+            for rule, factor in told:
+                out[rule] = out.get(rule, 0.0) + factor
+        return out
+
+    return match
+
+
+def _field_hits(fields: DataFrame, terms: list) -> DataFrame:
+    """(memory_id, rule, s): a row of each field and rule with a hit, and one without a rule for each field without any."""
+    told = fields.sparkSession.sparkContext.broadcast(terms)
+    schema = fields.select("memory_id", F.lit(None).cast("int").alias("rule"), F.lit(0.0).alias("s")).schema
+    id_type = to_arrow_type(schema["memory_id"].dataType)
+
+    def run(batches):
+        match = _matcher(told.value)
+        for batch in batches:
+            ids, rules, sums = [], [], []
+            for i, text, weight in zip(*(batch.column(n).to_pylist() for n in range(3))):
+                hits = match(text) or {None: 0.0}
+                ids += [i] * len(hits)
+                rules += hits.keys()
+                sums += [weight * f for f in hits.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(rules, pa.int32()), pa.array(sums, pa.float64())], ["memory_id", "rule", "s"])
 
-def rule_scores(fields: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(memory_id, rule, score) of the rules with any hit. Phrases count anywhere in a field's text, keywords as
-    whole words; only hits leave a row before the sum per memory and rule."""
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv]), F.col("field")), F.lit(1.0))
-    terms = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k == "keyword").alias("word"), F.lit(FACTORS[k]).alias("factor"), F.lit(t).alias("term")) for i, k, t in _terms(rules)])
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9][a-z0-9+.#'_-]*"), 0))
-    own = fields.select("memory_id", "text", weight.alias("weight"), words.alias("words"))
-    hits = own.select("memory_id", "weight", F.explode(F.filter(terms, lambda t: F.when(t["word"], F.array_contains(F.col("words"), t["term"])).otherwise(F.contains(F.col("text"), t["term"])))).alias("t"))
-    sums = hits.groupBy("memory_id", F.col("t.rule").alias("rule")).agg(F.sum(F.col("weight") * F.col("t.factor")).alias("s"))
-    bonus = F.element_at(F.array(*[F.lit(max(0, len(r.path) - 2) * 0.4) for r in rules]), F.col("rule") + 1)
-    return sums.select("memory_id", "rule", F.round(F.col("s") + bonus, 3).alias("score"))
-
-
-def _about(rules: tuple[Rule, ...], scores: DataFrame) -> DataFrame:
+    return fields.where(F.col("text").isNotNull()).select("memory_id", "text", weight.alias("weight")).mapInArrow(run, schema)
+
+
+def rule_scores(fields: DataFrame, rules: tuple[Rule, ...] | DataFrame, unmatched: bool = False) -> DataFrame:
+    """(memory_id, rule, score) of the rules with any hit; with `unmatched`, memories that have a field without a
+    hit get a row without rule and score besides, so that classify() need not read the texts again. Phrases count anywhere in a field's text, keywords as
+    whole words, each once a field. Terms are dealt to blocks of about TERM_BYTES by a hash of (rule, term); the driver
+    reads and sends one block at a time, tasks pass over the texts once for each, and hits are summed by rule before and in the shuffle."""
+    table = _as_table(fields.sparkSession, rules)
+    terms = rule_terms(table)
+    size = terms.agg(F.sum(F.length("term") + 16)).first()[0] or 0
+    blocks, hits = max(1, -(-size // TERM_BYTES)), None
+    for b in range(blocks):
+        part = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("rule", "term"), F.lit(blocks)) == b)
+        found = _field_hits(fields, [tuple(r) for r in part.collect()])
+        hits = found if hits is None else hits.unionByName(found)
+    sums = (hits if unmatched else hits.where("rule IS NOT NULL")).groupBy("memory_id", "rule").agg(F.sum("s").alias("s"))
+    bonus = table.select("rule", (F.greatest(F.lit(0), F.size("path") - 2) * 0.4).alias("bonus"))
+    return sums.join(bonus, "rule", "left").select("memory_id", "rule", F.round(F.col("s") + F.col("bonus"), 3).alias("score"))
+
+
+def _about(rules: tuple[Rule, ...] | DataFrame, scores: DataFrame) -> DataFrame:
     """scores with path, depth, root, min_score and fallback of their rules."""
-    table = F.array(*[F.struct(F.array(*map(F.lit, r.path)).alias("path"), F.lit(r.min_score).alias("min_score"), F.lit(r.fallback).alias("fallback")) for r in rules])
-    return scores.withColumn("__r", F.element_at(table, F.col("rule") + 1)).select("memory_id", "rule", "score", "__r.*").withColumns({"depth": F.size("path"), "root": F.get("path", F.lit(0))})
+    table = _as_table(scores.sparkSession, rules).select("rule", "path", "min_score", "fallback")
+    return scores.join(table, "rule").withColumns({"depth": F.size("path"), "root": F.get("path", F.lit(0))})
 
 
-def _candidates(scores: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _candidates(scores: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     """Scores that count, ranked: those of rules that reach their least score, or of fallbacks if none does."""
     known = _about(rules, scores).where("score >= min_score")
     real = F.bool_or(~F.col("fallback")).over(Window.partitionBy("memory_id"))
@@ -99,18 +175,19 @@ def _candidates(scores: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return known.withColumn("real", real).where("fallback <> real").withColumns({"n": F.row_number().over(order), "next": F.coalesce(F.lead("score").over(order), F.lit(0.0)), "best": F.first("score").over(order), "best_root": F.first("root").over(order)})
 
 
-def classify(memories: DataFrame, fields: DataFrame, scores: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(memory_id, path, score, confidence) of every memory; what has no rule is Other/Uncategorized."""
+def classify(memories: DataFrame, fields: DataFrame | None, scores: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
+    """(memory_id, path, score, confidence) of every memory; what has no rule is Other/Uncategorized. Without
+    `fields`, scores tell which memories have text: those of rule_scores(..., unmatched=True)."""
     best = _candidates(scores, rules).where("n = 1")
     margin = F.greatest(F.lit(0.0), F.col("score") - F.col("next"))
     sure = F.round(F.least(F.lit(0.98), 0.58 + F.least("score", F.lit(35.0)) / 100 + F.least(margin, F.lit(20.0)) / 80), 3)
     named = best.select("memory_id", F.array_join("path", "/").alias("p"), "score", sure.alias("c"))
-    content = fields.select("memory_id").distinct().withColumn("content", F.lit(True))
+    content = (scores if fields is None else fields).select("memory_id").distinct().withColumn("content", F.lit(True))
     out = memories.select("memory_id").join(named, "memory_id", "left").join(content, "memory_id", "left")
     return out.select("memory_id", F.coalesce("p", F.lit("Other/Uncategorized")).alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("c", F.when(F.col("content"), 0.35).otherwise(0.20)).alias("confidence"))
 
 
-def secondary_paths(scores: DataFrame, decisions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def secondary_paths(scores: DataFrame, decisions: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     """T4: (memory_id, path, confidence): up to two paths of other roots that score near the best."""
     near = _candidates(scores, rules).where("n > 1 and root <> best_root").where(F.col("score") >= F.greatest(F.col("min_score"), F.col("best") * 0.58))
     two = near.withColumn("k", F.row_number().over(Window.partitionBy("memory_id").orderBy("n"))).where("k <= 2")
