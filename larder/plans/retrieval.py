@@ -31,8 +31,8 @@ _TAGS = """tq AS (SELECT query_id, user_id, string_split(q, ' ')[1] AS q FROM qs
     tagb AS (SELECT query_id, memory_id, tag, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tag, memory_id) AS INTEGER) AS place FROM tq JOIN tags ON tq.user_id = tags.user_id AND contains(lower(tag), lower(q)) QUALIFY place <= 50)"""
 _VISUAL = """fr AS (SELECT f.*, m.user_id FROM frames_v f JOIN shown m USING (memory_id)),
     near AS (SELECT query_id, frame_id, memory_id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(fr.embedding AS DOUBLE[])), 6) AS distance FROM qs JOIN embeddings e ON e.vec_id = qs.item_id JOIN fr ON fr.user_id = qs.user_id),
-    n25 AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, frame_id) <= 250),
-    vis AS (SELECT query_id, memory_id, b.frame_id AS frame_id, b.distance AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b.distance, memory_id) AS INTEGER) AS place FROM (SELECT query_id, memory_id, min({'distance': distance, 'frame_id': frame_id}) AS b FROM n25 GROUP BY ALL) QUALIFY place <= 10)"""
+    n25 AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, frame_id) <= 1250),
+    vis AS (SELECT query_id, memory_id, b.frame_id AS frame_id, b.distance AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b.distance, memory_id) AS INTEGER) AS place FROM (SELECT query_id, memory_id, min({'distance': distance, 'frame_id': frame_id}) AS b FROM n25 GROUP BY ALL) QUALIFY place <= 50)"""
 _FUSED = f"""{_RANK}, {_TAGS}, {_VISUAL},
     br AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY b, query_id ORDER BY p) AS r FROM (SELECT 1 AS b, query_id, memory_id, min(place) AS p FROM fts GROUP BY ALL UNION ALL SELECT 2, query_id, memory_id, min(place) FROM tagb GROUP BY ALL UNION ALL SELECT 3, query_id, memory_id, min(place) FROM vis GROUP BY ALL)),
     hits AS (SELECT query_id, memory_id, round(list_sum(list(1 / CAST(60 + r AS DOUBLE) ORDER BY r DESC)), 12) AS score FROM br GROUP BY ALL),
@@ -126,7 +126,7 @@ def s5_tag_branch(spark, sf_dir):
 @plan(f"WITH {_Q}, {_VISUAL} SELECT * FROM vis")
 def s6_visual_branch(spark, sf_dir):
     q = _with_visual(spark, sf_dir).withColumnRenamed("visual", "embedding")
-    return search.visual_branch(q, _frames(spark, sf_dir), 10)
+    return search.visual_branch(q, _frames(spark, sf_dir))
 
 
 @plan(f"WITH {_RANK} SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INTEGER) AS rank FROM (SELECT query_id, memory_id, min(place) AS p FROM fts GROUP BY ALL)")
