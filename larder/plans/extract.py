@@ -16,13 +16,14 @@ def x1_extract_articles(spark, sf_dir):
     return extract.extract_articles(view(spark, sf_dir, "pages"))
 
 
-_OG = """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE '<META  property="OG:title" x content="' || url || '"><meta content=''c' || cast(page_id AS string) || ''' property="og:description"/>' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:image" content=""><meta property="og:image:secure_url" content="https://i/' || cast(page_id AS string) || '">' ELSE '' END || '<meta property="og:title" content="second">' END || html AS html FROM pages"""
+_OG = """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE '<META  property="OG:title" x content="' || CASE WHEN page_id % 3 = 0 THEN 'Home > ' ELSE '' END || url || '"><meta content=''c' || CASE WHEN page_id % 4 = 1 THEN ' -> ' ELSE '' END || '' || cast(page_id AS string) || ''' property="og:description"/>' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:image" content=""><meta property="og:image:secure_url" content="https://i/' || cast(page_id AS string) || '">' ELSE '' END || '<meta property="og:title" content="second">' END || html AS html FROM pages"""
 
 
 @plan(r"""WITH h AS (SELECT page_id, html FROM (""" + _OG + r""")),
-    og AS (SELECT page_id, list_concat(
-        list_zip(list_transform(regexp_extract_all(html, '(?i)<meta\s+[^>]*property=["''](og:[a-zA-Z_:]+)["''][^>]*content=["'']([^"'']*)["'']', 1), lambda x: lower(x)), regexp_extract_all(html, '(?i)<meta\s+[^>]*property=["''](og:[a-zA-Z_:]+)["''][^>]*content=["'']([^"'']*)["'']', 2)),
-        list_zip(list_transform(regexp_extract_all(html, '(?i)<meta\s+[^>]*content=["'']([^"'']*)["''][^>]*property=["''](og:[a-zA-Z_:]+)["'']', 2), lambda x: lower(x)), regexp_extract_all(html, '(?i)<meta\s+[^>]*content=["'']([^"'']*)["''][^>]*property=["''](og:[a-zA-Z_:]+)["'']', 1))) AS kv FROM h),
+    cut AS (SELECT page_id, string_split_regex(html, '(?i)<meta\s')[2:] AS pieces FROM h),
+    said AS (SELECT page_id, i, lower(regexp_extract(piece, '(?i)property=["''](og:[a-z_:]+)["'']', 1)) AS n, regexp_extract(piece, '(?i)content=["'']([^"'']*)["'']', 1) AS v, strpos(lower(piece), 'content=') AS at_content, strpos(lower(piece), 'property=') AS at_property
+        FROM (SELECT page_id, i, pieces[i] AS piece FROM cut, unnest(range(1, len(pieces) + 1)) AS u(i))),
+    og AS (SELECT page_id, list([n, v] ORDER BY at_content < at_property, i) AS kv FROM said WHERE n <> '' AND at_content > 0 GROUP BY page_id),
     v AS (SELECT page_id, substr(nullif(list_filter(kv, lambda x: x[1] = 'og:title')[1][2], ''), 1, 128) AS creator, substr(nullif(list_filter(kv, lambda x: x[1] = 'og:description')[1][2], ''), 1, 10000) AS caption,
         coalesce(nullif(list_filter(kv, lambda x: x[1] = 'og:image')[1][2], ''), nullif(list_filter(kv, lambda x: x[1] = 'og:image:secure_url')[1][2], '')) AS thumbnail FROM og)
     SELECT * FROM v WHERE coalesce(creator, caption, thumbnail) IS NOT NULL""")

@@ -126,3 +126,17 @@ def test_responses(spark):
 @pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("generalizations", "gener"), ("is", "is"), ("agreed", "agre"), ("über", "über")])
 def test_stem(word, want):
     assert stem(word) == want
+
+
+def test_meta_values_may_hold_a_closing_sign(spark):
+    pages = [
+        '<meta property="og:title" content="Home > Shop"><meta property="og:description" content="b">',
+        "<META content='A -> B > C' property='og:title'/>",
+        '<meta name="x" content="p > q"><p property="og:title">',
+        '<meta property="og:title"><meta content="late">',
+        '<meta property="og:title" content="open',
+        '<meta ' + "a" * 20_000 + ' property="og:title" content="far">',
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {r.page_id: (r.creator, r.caption) for r in extract.extract_og(df).collect()}
+    assert got == {0: ("Home > Shop", "b"), 1: ("A -> B > C", None), 5: ("far", None)}
