@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.operators.orderstats import low_place, median, order_statistics
+
 # The legal transitions, the settled states, the failures that may be tried again.
 FAILS = ("FAILED_RETRYABLE", "FAILED_PERMANENT")
 TRANSITIONS = {
@@ -50,7 +52,10 @@ def stage_durations(log: DataFrame) -> DataFrame:
     """(stage, n, mean_s, p50_s, p95_s) of the time spent in each status until the next."""
     seconds = lambda c: F.unix_micros(F.to_timestamp(c)) / 1e6
     own = log.select(F.col("status").alias("stage"), (seconds(F.lead("ts").over(_order())) - seconds(F.col("ts"))).alias("s")).where("s is not null")
-    return own.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("s"), 3).alias("mean_s"), F.round(F.percentile("s", F.lit(0.5)), 3).alias("p50_s"), F.round(F.percentile("s", F.lit(0.95)), 3).alias("p95_s"))
+    placed = order_statistics(own, "stage", "s", {"p50_s": median(), "p95_s": (F.col("n") - 1) * 0.95})
+    means = own.groupBy(F.col("stage").alias("a")).agg(F.round(F.avg("s"), 3).alias("mean_s"))
+    met = placed.join(means, F.col("stage").eqNullSafe(F.col("a")))
+    return met.select("stage", "n", "mean_s", F.round("p50_s", 3).alias("p50_s"), F.round("p95_s", 3).alias("p95_s"))
 
 
 def retryable(code: Column) -> Column:
@@ -103,7 +108,7 @@ def acquisition_report(results: DataFrame) -> DataFrame:
     """Per approach: requests, HTTP 200s, parsed, media and field shares, median, floor-index p95 and largest
     latency. results: approach, status (text), latency_s, parsed, media, creator, caption."""
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate")
-    w = Window.partitionBy("approach")
-    placed = results.withColumns({"__n": F.count("*").over(w), "__i": F.row_number().over(w.orderBy("latency_s", "result_id")) - 1})
-    p95 = F.max(F.when(F.col("__i") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.95)), F.col("latency_s")))
-    return placed.groupBy("approach").agg(F.count("*").alias("requests"), F.count_if(F.col("status") == "200").alias("http_200"), F.count_if("parsed").alias("parsed"), share("media"), share("creator"), share("caption"), F.round(F.percentile("latency_s", F.lit(0.5)), 6).alias("p50_s"), F.round(p95, 6).alias("p95_s"), F.round(F.max("latency_s"), 6).alias("max_s"))
+    g = results.groupBy("approach").agg(F.count("*").alias("requests"), F.count_if(F.col("status") == "200").alias("http_200"), F.count_if("parsed").alias("parsed"), share("media"), share("creator"), share("caption"), F.round(F.max("latency_s"), 6).alias("max_s"))
+    placed = order_statistics(results, "approach", "latency_s", {"p50_s": median(), "p95_s": low_place(0.95)}).withColumnRenamed("approach", "a").drop("n")
+    met = g.join(placed, F.col("approach").eqNullSafe(F.col("a")), "left").drop("a")
+    return met.withColumns({"p50_s": F.round("p50_s", 6), "p95_s": F.round("p95_s", 6)})

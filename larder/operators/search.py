@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import collapse, snippet, visual_snippet
 from larder.operators import embed, textindex
+from larder.operators.orderstats import low_place, median, order_statistics
 
 RRF_K = 60
 # The evidence type of a segment's modality; others show as TAG.
@@ -137,11 +138,9 @@ def retrieval_eval(hits: DataFrame, truth: DataFrame, at1: float = 0.80, at3: fl
 
 def latency_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, p50, p95, p95_low): the median, and the two floor-index percentiles int(n * .95) and
-    int((n - 1) * .95)."""
-    w = Window.partitionBy(key)
-    placed = df.select(key, F.col(value).alias("v")).withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("v")) - 1})
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
-    return placed.groupBy(key).agg(F.max("n").alias("n"), F.round(F.percentile("v", F.lit(0.5)), 6).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"), at(F.floor((F.col("n") - 1) * 0.95)).alias("p95_low"))
+    int((n - 1) * .95). Null values take no part."""
+    out = order_statistics(df, key, value, {"p50": median(), "p95": low_place(0.95), "p95_low": F.floor((F.col("n") - 1) * 0.95)})
+    return out.withColumn("p50", F.round("p50", 6))
 
 
 def leak_check(terms: DataFrame, segments: DataFrame) -> DataFrame:
