@@ -5,10 +5,15 @@ Times are read in the session time zone, which is UTC.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.operators.components import connected_components
+from larder.session import staged
+
 # What each action uses, and how much of it a period allows.
 BUCKETS_OF = {"capture": ("captures",), "album": ("captures",), "ask": ("questions",), "ask_verify": ("questions", "verifications"), "brief": ("questions", "verifications")}
 LIMITS = {"captures": 20, "questions": 50, "verifications": 10}
@@ -86,63 +91,115 @@ def failure_rate(attempts: DataFrame, key: str, window_s: int = 600) -> DataFram
     return attempts.withColumn("recent", F.count_if(~F.col("success")).over(w))
 
 
-def _throttle(frame: pd.DataFrame, per_ip: int, per_account: int, window_s: float) -> pd.DataFrame:
-    by_ip: dict = {}
-    by_account: dict = {}
-    allowed, waits = [], []
-    for r in frame.itertuples(index=False):
-        blocked = None
-        for held, key, most in ((by_ip, r.ip, per_ip), (by_account, r.account, per_account)):
-            times = [t for t in held.get(key, ()) if t > r.at - window_s]
-            held[key] = times
-            if blocked is None and len(times) >= most:
-                blocked = max(1, int(times[0] + window_s - r.at) + 1)
-        allowed.append(blocked is None)
-        waits.append(blocked)
-        if blocked is None:
-            if r.success:
-                by_account.pop(r.account, None)
-            else:
-                by_ip[r.ip].append(r.at)
-                by_account[r.account].append(r.at)
-    return pd.DataFrame({"event_id": frame["event_id"], "allowed": allowed, "retry_after": pd.array(waits, "Int64")})
+class _Recorded:
+    """Failures of the last window by key, in order of time; what has expired is forgotten."""
+
+    def __init__(self):
+        self.by_key: dict = {}
+        self.order: deque = deque()
+
+    def add(self, key: str, at: float) -> None:
+        self.by_key.setdefault(key, deque()).append(at)
+        self.order.append((at, key))
+
+    def forget(self, key: str) -> None:
+        self.by_key.pop(key, None)
+
+    def until(self, limit: float) -> None:
+        while self.order and self.order[0][0] <= limit:
+            at, key = self.order.popleft()
+            held = self.by_key.get(key)
+            if held and held[0] == at:  # else it was forgotten, and the key's records are newer
+                held.popleft()
+                if not held:
+                    del self.by_key[key]
+
+    def times(self, key: str) -> deque:
+        return self.by_key.get(key, ())
+
+
+_ROW = "kind int, event_id long, ip string, account string, success boolean, at double"
+_FED = "kind int, event_id long, ip string, account string, success boolean, at double, allowed boolean, retry_after long"
+
+
+def attempt_rows(attempts: DataFrame) -> DataFrame:
+    """Attempts as rows of kind 2; recorded failures are rows of kind 0 (of an IP) and 1 (of an account)."""
+    return attempts.select(F.lit(2).alias("kind"), F.col("event_id").cast("long").alias("event_id"), F.col("ip").cast("string").alias("ip"), F.col("account").cast("string").alias("account"), "success", (F.unix_micros(F.to_timestamp("ts")) / 1e6).alias("at"))
+
+
+def _fed(per_ip: int, per_account: int, window_s: float):
+    """Over rows sorted by (part, kind, at, event_id) for recorded failures, then attempts: decisions, and behind each part
+    the failures that are still recorded. Holds one window's failures of one part."""
+
+    def run(batches):
+        part, ips, accounts, now = None, _Recorded(), _Recorded(), 0.0
+
+        def left() -> list:
+            return [(kind, None, k if kind == 0 else None, k if kind == 1 else None, False, t, None, None) for kind, held in ((0, ips), (1, accounts)) for k, times in held.by_key.items() for t in times]
+
+        def table(rows: list) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.bool_(), pa.int64())
+            columns = list(zip(*rows)) or [[]] * 8
+            names = ["kind", "event_id", "ip", "account", "success", "at", "allowed", "retry_after"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for batch in batches:
+            out = []
+            for own, kind, event, ip, account, success, at in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "event_id", "ip", "account", "success", "at"))):
+                if own != part:
+                    out += left()
+                    part, ips, accounts = own, _Recorded(), _Recorded()
+                if kind < 2:
+                    (ips if kind == 0 else accounts).add(ip if kind == 0 else account, at)
+                    continue
+                ips.until(at - window_s)
+                accounts.until(at - window_s)
+                blocked = None
+                for held, key, most in ((ips, ip, per_ip), (accounts, account, per_account)):
+                    times = held.times(key)
+                    if blocked is None and len(times) >= most:
+                        blocked = max(1, int(times[0] + window_s - at) + 1)
+                if blocked is None:
+                    if success:
+                        accounts.forget(account)
+                    else:
+                        ips.add(ip, at)
+                        accounts.add(account, at)
+                out.append((2, event, ip, account, success, at, blocked is None, blocked))
+            yield table(out)
+        yield table(left())
+
+    return run
+
+
+def decide(attempts: DataFrame, records: DataFrame, per_ip: int, per_account: int, window_s: float) -> tuple[DataFrame, DataFrame]:
+    """(event_id, allowed, retry_after) of attempt_rows, and the failures recorded afterwards, those of keys that nobody used included.
+
+    Accounts and IPs that attempts connect are one part (connected components). Parts are spread over partitions, sorted by time
+    within them, and fed through in Arrow batches: no part is gathered, however large."""
+    name = lambda c, k: F.concat(F.lit(c), F.coalesce(F.col(k), F.lit("")))
+    parts = staged(connected_components(attempts.select(name("i", "ip").alias("a"), name("a", "account").alias("b")), "a", "b"), "throttle-parts")
+    of = parts.withColumnRenamed("component", "part")
+    fed = attempts.withColumn("node", name("i", "ip")).join(of, "node")
+    known = records.withColumn("node", F.when(F.col("kind") == 0, name("i", "ip")).otherwise(name("a", "account"))).join(of, "node", "left")
+    both = fed.unionByName(known.where("part IS NOT NULL")).drop("node")
+    columns = ["part", "kind", "event_id", "ip", "account", "success", "at"]
+    ordered = both.select(*columns).repartition("part").sortWithinPartitions("part", F.col("kind") == 2, "at", "event_id")
+    out = staged(ordered.mapInArrow(_fed(per_ip, per_account, window_s), _FED), "throttle-decided")
+    decided = out.where("kind = 2").select("event_id", "allowed", "retry_after")
+    newest = attempts.agg(F.max("at")).first()[0]
+    row = [c.split()[0] for c in _ROW.split(", ")]
+    left = out.where("kind < 2").unionByName(known.where("part IS NULL").select(*row).withColumns({"allowed": F.lit(None).cast("boolean"), "retry_after": F.lit(None).cast("long")})).select(*row)
+    return decided, left if newest is None else left.where(F.col("at") > newest - window_s)
 
 
 def login_throttle(attempts: DataFrame, per_ip: int = 20, per_account: int = 8, window_s: int = 600) -> DataFrame:
     """Q7, exact: (event_id, allowed, retry_after). A blocked attempt is not recorded, a success clears the account
-    alone, and the IP is asked before the account, so decisions depend on the order over linked keys. Quiet spells
-    of more than the window cut an IP's attempts into sessions: linked sessions never reach across one, since
-    every recorded failure has then expired.
-
-    Attempts of IPs that share accounts within a session are decided together: a session group is the unit of work, and
-    `failure_rate` is the report that scales whatever keys share."""
-    own = attempts.select("event_id", "ip", "account", "success", (F.unix_micros(F.to_timestamp("ts")) / 1e6).alias("at"))
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("part").orderBy("at", "event_id")) > window_s
-    # linked keys: an account of several IPs ties them; IPs group by the least IP of their accounts
-    linked = _linked_ips(own)
-    parts = own.join(linked, "ip")
-    sessions = parts.withColumn("session", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(Window.partitionBy("part").orderBy("at", "event_id")))
-
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        return _throttle(frame.sort_values(["at", "event_id"]), per_ip, per_account, window_s)
-
-    return sessions.groupBy("part", "session").applyInPandas(decide, "event_id long, allowed boolean, retry_after long")
-
-
-def _linked_ips(attempts: DataFrame) -> DataFrame:
-    """(ip, part): IPs that an account connects have one part. Labels fall to the least label of an account's IPs until
-    none changes; each round is written, as many rounds as the longest chain."""
-    from larder.session import shared_folder
-
-    shared_folder(attempts.sparkSession)
-    pairs = attempts.select("ip", "account").distinct().checkpoint()
-    label = pairs.select("ip", F.col("ip").alias("part")).distinct()
-    while True:
-        least = pairs.join(label, "ip").groupBy("account").agg(F.min("part").alias("least"))
-        new = pairs.join(least, "account").groupBy("ip").agg(F.min("least").alias("part")).checkpoint()
-        if new.join(label.withColumnRenamed("part", "old"), "ip").where("part <> old").isEmpty():
-            return new
-        label = new
+    alone, and the IP is asked before the account, so decisions depend on the order over linked keys (`decide`). Null keys are
+    one key."""
+    rows = staged(attempt_rows(attempts), "throttle-attempts")
+    none = attempts.sparkSession.createDataFrame([], _ROW)
+    return decide(rows, none, per_ip, per_account, window_s)[0]
 
 
 def intent_history(events: DataFrame, keep: int = 20, context: int = 5) -> DataFrame:

@@ -6,10 +6,12 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from larder.operators import usage
 from larder.plans.base import VIEWS, Plans, view
 from larder.plans.taxonomy import RULES
 from larder.session import shared_folder
 from larder.sources import library_io
+from larder.sources.bucket_table import BucketTable
 from larder.streaming import streams
 
 plan = Plans()
@@ -56,6 +58,15 @@ def st5_stuck_jobs(spark, sf_dir):
     return streams.drain(streams.stuck_jobs(_stream(spark, sf_dir, "status_log_v")), _folder(spark, "jobs"))
 
 
+@plan("SELECT count(*) AS attempts, 0::BIGINT AS differing FROM attempts_v")
+def st5_throttle_stream(spark, sf_dir):
+    """The stream's decisions against those of the whole table at once: how many differ."""
+    whole = usage.login_throttle(view(spark, sf_dir, "attempts_v"), 20, 8, 36_000).withColumnsRenamed({"allowed": "a", "retry_after": "r"})
+    found = streams.throttle_stream(_stream(spark, sf_dir, "attempts_v"), _folder(spark, "throttle"), 20, 8, 36_000, delay_s=60.0, flush=True)
+    met = whole.join(found, "event_id", "full")
+    return met.agg(F.count("*").alias("attempts"), F.count_if(~(F.col("a").eqNullSafe(F.col("allowed")) & F.col("r").eqNullSafe(F.col("retry_after")))).alias("differing"))
+
+
 @plan()
 def st6_classify_stream(spark, sf_dir):
     docs = streams.read_stream(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "memory_id")
@@ -81,7 +92,7 @@ def io3_normalize_items(spark, sf_dir):
 @plan("SELECT memory_id, count(*) AS n, CAST(max(length(content)) AS BIGINT) AS longest FROM (SELECT memory_id, CASE WHEN memory_id % 2 = 0 THEN 'new ' || content ELSE content END AS content FROM segments_v) GROUP BY memory_id")
 def io4_replace_rows(spark, sf_dir):
     """Everything is written, then the even memories again with other contents."""
-    s, folder = view(spark, sf_dir, "segments_v"), _folder(spark, "table")
-    library_io.replace_rows(s, folder)
-    library_io.replace_rows(s.where("memory_id % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content")), folder)
-    return spark.read.parquet(folder).groupBy("memory_id").agg(F.count("*").alias("n"), F.max(F.length("content")).cast("long").alias("longest"))
+    s, table = view(spark, sf_dir, "segments_v"), BucketTable(spark, _folder(spark, "table"), ["memory_id"])
+    table.replace(s, "memory_id")
+    table.replace(s.where("memory_id % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content")), "memory_id")
+    return table.read().groupBy("memory_id").agg(F.count("*").alias("n"), F.max(F.length("content")).cast("long").alias("longest"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators import dedup, taxonomy, usage
+from larder.session import staged
+from larder.sources.bucket_table import BucketTable
 
 ITEM = ["user_id", "platform", "platform_item_id"]
 IN_FLIGHT = ("RESOLVING_SOURCE", "MEDIA_READY", "TRANSCRIBING", "ANALYZING_VISUALS", "RUNNING_OCR", "GENERATING_MEMORY", "INDEXING")
@@ -45,24 +47,16 @@ def first_captures(captures: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def upsert_items(captures: DataFrame, folder: str) -> DataFrame:
-    """ST2: items folded from all batches. A batch writes the table's next version under its own number, so that a
-    batch that runs twice writes the same version again."""
-    spark = captures.sparkSession
+    """ST2: items folded from all batches: a versioned table of key buckets (`BucketTable`) at folder/items. A batch reads
+    and rewrites the buckets that its items fall into and no others; one that runs twice is applied once, and a restart
+    with nothing new gives the newest version that is in the folder."""
+    table = BucketTable(captures.sparkSession, f"{folder}/items", ITEM)
+    for_each_batch(captures, folder, lambda batch, number: table.write(batch, merged_items, tag=number))
+    return table.read()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = dedup.fold_captures(batch)
-        if number:
-            new = dedup.merge_captures(spark.read.parquet(f"{folder}/items/v{number - 1}"), batch)
-        new.write.mode("overwrite").parquet(f"{folder}/items/v{number}")
-
-    last = [-1]
-
-    def step(batch: DataFrame, number: int) -> None:
-        merge(batch, number)
-        last[0] = number
 
-    for_each_batch(captures, folder, step)
-    return spark.read.parquet(f"{folder}/items/v{last[0]}")
+def merged_items(items: DataFrame, batch: DataFrame) -> DataFrame:
+    return dedup.merge_captures(items, batch) if "save_count" in items.columns else dedup.fold_captures(batch)
 
 
 def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -118,3 +112,43 @@ def classify_stream(memories: DataFrame, text: str, rules: tuple, folder: str) -
 
     for_each_batch(memories, folder, step)
     return spark.read.parquet(f"{folder}/decisions").drop("batch")
+
+
+def throttle_stream(attempts: DataFrame, folder: str, per_ip: int = 20, per_account: int = 8, window_s: int = 600, delay_s: float = 0.0, flush: bool = False) -> DataFrame:
+    """ST5, the exact throttle: (event_id, allowed, retry_after) of every attempt, as login_throttle decides it.
+
+    Decisions depend on the order over linked keys, so a batch's attempts are decided by linked component, each fed in
+    order of time behind what is still recorded for its IPs and accounts (usage.decide). The state is a Parquet
+    version for each batch: the recorded failures of the last window, and the attempts that wait because they are less than delay_s
+    older than the newest seen. An attempt that comes later than that is decided in its batch, in its place among the batch's own.
+    A batch that runs again writes its version and its decisions again. With `flush`, what waits at the end is decided too.
+    """
+    spark = attempts.sparkSession
+
+    def settle(batch: DataFrame, number: int, last: bool = False) -> None:
+        own = usage.attempt_rows(batch)
+        if number:
+            state = spark.read.parquet(f"{folder}/state/v{number - 1}")
+            own = own.unionByName(state.where("kind = 2"))
+            records = state.where("kind < 2")
+        else:
+            records = own.limit(0)
+        own = staged(own, "throttle-batch")
+        newest = own.agg(F.max("at")).first()[0]
+        ready = own if last or newest is None else own.where(F.col("at") <= newest - delay_s)
+        waiting = own.where("false") if last or newest is None else own.where(F.col("at") > newest - delay_s)
+        decided, left = usage.decide(ready, records, per_ip, per_account, window_s)
+        decided.write.mode("overwrite").parquet(f"{folder}/decisions/batch={number}")
+        left.unionByName(waiting).write.mode("overwrite").parquet(f"{folder}/state/v{number}")
+
+    for_each_batch(attempts, folder, settle)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    done = [int(s.getPath().getName()[1:]) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.getPath().getName().startswith("v")]
+    if flush:
+        settle(attempts_like(spark, attempts), max(done) + 1, True)
+    return spark.read.parquet(f"{folder}/decisions").drop("batch")
+
+
+def attempts_like(spark: SparkSession, attempts: DataFrame) -> DataFrame:
+    """No attempts, with the columns of the stream."""
+    return spark.createDataFrame([], attempts.schema)
