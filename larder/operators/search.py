@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import collapse, snippet, visual_snippet
-from larder.operators import embed, textindex
+from larder.operators import embed, substrings, textindex
 from larder.operators.orderstats import low_place, median, order_statistics
 
 RRF_K = 60
@@ -35,9 +35,9 @@ def vector_branch(queries: DataFrame, segments: DataFrame, n: int = 50) -> DataF
 
 def tag_branch(queries: DataFrame, tags: DataFrame, n: int = 50) -> DataFrame:
     """(query_id, memory_id, tag, place): tags of the user's memories that hold the query, ignoring case. Texts
-    are compared as they are, so no character is special."""
-    distinct = tags.select("user_id", "tag").distinct()
-    met = queries.where(F.col("q") != "").select("query_id", "user_id", "q").join(distinct, "user_id").where(F.contains(F.lower("tag"), F.lower("q")))
+    are compared as they are, so no character is special; candidates come from the tags' pieces (`substrings`)."""
+    found = substrings.holding(queries, substrings.postings(tags, "user_id", "tag"), "user_id", "tag", "q")
+    met = queries.select("query_id", "user_id", "q").join(found, ["user_id", "q"])
     rows = met.select("query_id", "user_id", "tag").join(tags.select("user_id", "tag", "memory_id").distinct(), ["user_id", "tag"])
     return _top(rows, ["tag", "memory_id"], n).select("query_id", "memory_id", "tag", "place")
 
