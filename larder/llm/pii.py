@@ -232,8 +232,10 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     filled = digits.withColumn("span", F.expr(f"array_join(transform(split(f.p, ''), (ch, i) -> {char}), '')"))
     before = f"case when f.how = 'told' then {_choice(TOLD, 6)} when f.how = 'counted' then {_choice(COUNTED, 6)} when pmod(xxhash64(id, 7), 2) = 0 then {_choice(PLAIN, 8)} when f.personal then {_choice(TOLD, 6)} else {_choice(COUNTED, 6)} end"
     part = f"element_at(array({', '.join(map(_sql, PARTS))}), cast(1 + pmod(xxhash64(id, 9), {len(PARTS)}) as int))"
-    # a few words first, for the context to reach into
-    text = filled.selectExpr("id", f"{part} as part", f"concat({_choice(PLAIN, 10)}, {_choice(PLAIN, 11)}, {before}) as b", "span", f"{_choice(ENDS, 12)} as tail", "f.personal as personal")
+    # a few words first, for the context to reach into; a quarter of the texts begin with the form, or with the word that tells what it is
+    bare, needs = "pmod(xxhash64(id, 13), 4) = 0", "f.how in ('told', 'counted')"
+    ahead = f"concat(if({bare}, '', concat({_choice(PLAIN, 10)}, {_choice(PLAIN, 11)})), if({bare} and not {needs}, '', {before}))"
+    text = filled.selectExpr("id", f"{part} as part", f"{ahead} as b", "span", f"{_choice(ENDS, 12)} as tail", "f.personal as personal")
     return text.selectExpr("id", "part", "concat(b, span, tail) as t", "length(b) as s", "length(b) + length(span) as e", "personal")
 
 
@@ -353,9 +355,18 @@ def all_spans(found: DataFrame, model: Trees) -> DataFrame:
     """found with `spans`: (k, s, e) of base spans and selected candidates, by kind and start."""
     kind = "case " + " ".join(f"when c.generator = {i} then {KIND_OF[g]}" for i, g in enumerate(GENERATORS) if g in KIND_OF) + " when c.digit >= 16 then 2 else 3 end"
     more = f"transform(filter(found, c -> not c.sure and {model.selected('c')}), c -> named_struct('k', {kind}, 's', c.s, 'e', c.e))"
-    # candidates of two generators may agree: equal neighbours count once
-    once = _let(f"array_sort(concat({_base()}, {more}))", "z", "filter(z, (x, i) -> i = 0 or x <> get(z, i - 1))")
-    return found.withColumn("spans", F.expr(once))
+    return found.withColumn("spans", F.expr(f"array_sort(concat({_base()}, {_united(more)}))"))
+
+
+def _united(spans: str) -> str:
+    """SQL: spans (k, s, e) by kind and start, those of one kind that overlap as one. From the front, each says where its
+    union begins and how far it reaches so far; the last of every union stands for it."""
+    row = "struct<k:int,s:int,e:int,new:boolean>"
+    same = "(x.k = a.st.k and x.s < a.st.e)"
+    state = f"named_struct('k', x.k, 's', if({same}, a.st.s, x.s), 'e', if({same}, greatest(a.st.e, x.e), x.e))"
+    reached = f"named_struct('k', x.k, 's', if({same}, a.st.s, x.s), 'e', if({same}, greatest(a.st.e, x.e), x.e), 'new', not {same})"
+    marked = _fold(f"array_sort({spans})", row, "named_struct('k', -1, 's', 0, 'e', 0)", state, reached)
+    return _let(marked, "u", "transform(filter(u, (x, i) -> i = size(u) - 1 or get(u, i + 1).new), x -> named_struct('k', x.k, 's', x.s, 'e', x.e))")
 
 
 def _joined(spans: str) -> str:

@@ -152,3 +152,26 @@ def test_columns_of_any_name_stay(spark):
     assert out.columns == df.columns
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "[EMAIL]", *names), (2, None, *names)]
     assert pii.redact(df.where("false")).collect() == []
+
+
+def test_the_same_span_at_both_ends_and_in_the_middle(spark):
+    """Whether a span is found does not depend on there being a text around it."""
+    personal = ["fe80::1ff:fe23:4567:890a", "2001:db8::ff00:42:8329", "2001:db8:0:1:1:1:1:1", "jo [at] host [dot] org", "jo.b(at)mail (dot) example (dot) com", "ann @ mail.example.com", "(555) 123-4567", "4111.1111.1111.1111", "4111/1111/1111/1111"]
+    told = ["call 555-123-4567", "Tel. 0171 2345678"]
+    alike = ["2024-01-12 10:11", "978-3-16-148410-0", "1990-1995 2000", "1 000 000", "12:11:10:09", "00:1a:2b:3c:4d:5e", "order 4500123456"]
+    frames = [("", ""), ("see ", ""), ("", " now"), ("see ", " now"), ("see ", ". ")]
+    texts = [(x, a, b) for x in personal + told + alike for a, b in frames]
+    df = spark.createDataFrame([(i, a + x + b) for i, (x, a, b) in enumerate(texts)], "doc_id long, text string").repartition(4)
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    for i, (x, a, _) in enumerate(texts):
+        start = len(a) + (x.index(" ") + 1 if x in told else 0)
+        want = "" if x in alike else f"{start}:{len(a) + len(x)}"
+        assert spans[i].partition(":")[2] == want, (texts[i], spans[i])
+
+
+def test_overlapping_additions_are_one(spark):
+    rows = ["(call 1-800-555-0199)", "(555) 123-4567 555-123-4567", "call 555-123-4567, call 555-123-4568"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    for r in pii.find_personal_data(df).collect():
+        places = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert places and all(a[1] <= b[0] for a, b in zip(places, places[1:])), r.spans
