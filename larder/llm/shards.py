@@ -26,6 +26,7 @@ schema that the reader gives.
 from __future__ import annotations
 
 import json
+import time
 from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
@@ -115,15 +116,28 @@ class ShardStore:
         name = F.regexp_replace("path", "^.*/data/", "")
         return files.select(name.alias("shard"), F.col("length").alias("bytes")).join(rows.select(name.alias("shard"), "rows"), "shard").select("shard", "bytes", "rows", F.lit(arrival).cast("long").alias("arrival"), F.lit(level).cast("int").alias("level"))
 
+    def _begin(self, version: int) -> str:
+        """A folder for new files, named as pending until _end: vacuum leaves pending folders alone."""
+        name = f"{version:08d}-{uuid4().hex}"
+        self._fs.create(self._path(f"{self.path}/pending/{name}"), False).close()
+        return name
+
+    def _end(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/pending/{name}"), False)
+
     def append(self, rows: DataFrame, max_rows: int = 50_000) -> int:
         """Write one arrival; each task's files hold at most max_rows rows."""
-        version = self.version() + 1
-        folder = f"{self.path}/data/{version:08d}-{uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(folder)
         if not rows.columns:
             raise ValueError("no columns")
-        new = self._shards(folder, version, 0).where("rows > 0")
-        return self._commit(self.manifest().unionByName(new), version)
+        version = self.version() + 1
+        name = self._begin(version)
+        try:
+            folder = f"{self.path}/data/{name}"
+            rows.write.option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(folder)
+            new = self._shards(folder, version, 0).where("rows > 0")
+            return self._commit(self.manifest().unionByName(new), version)
+        finally:
+            self._end(name)
 
     def plan(self, target: int = TARGET, fanin: int = FANIN) -> DataFrame:
         """shard, bytes, tier and group of each shard to merge. Runs of a tier, in arrival order, fill
@@ -149,12 +163,16 @@ class ShardStore:
         shard, group = (free_name(n, data.columns) for n in ("__shard", "__group"))
         rows = data.select(*map(named, data.columns), F.expr(_SHARD).alias(shard))
         numbered = chosen.select(F.col("shard").alias(shard), (F.dense_rank().over(Window.orderBy("group")) - 1).alias(group))
-        folder = f"{self.path}/data/{old + 1:08d}-{uuid4().hex}"
         merged = rows.join(F.broadcast(numbered), shard).drop(shard)  # a row per file to merge
-        # a task per group, whose rows become one file: nothing is sorted
-        merged.repartitionById(groups, F.col(group)).drop(group).write.option("compression", "zstd").parquet(folder)
-        kept = self.manifest(old).join(chosen.select("shard"), "shard", "left_anti")
-        return self._commit(kept.unionByName(self._shards(folder, old + 1, 1).where("rows > 0")), old + 1)
+        name = self._begin(old + 1)
+        try:
+            folder = f"{self.path}/data/{name}"
+            # a task per group, whose rows become one file: nothing is sorted
+            merged.repartitionById(groups, F.col(group)).drop(group).write.option("compression", "zstd").parquet(folder)
+            kept = self.manifest(old).join(chosen.select("shard"), "shard", "left_anti")
+            return self._commit(kept.unionByName(self._shards(folder, old + 1, 1).where("rows > 0")), old + 1)
+        finally:
+            self._end(name)
 
     def _files(self, names: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names])
@@ -171,14 +189,24 @@ class ShardStore:
         data = self._files(names)
         return data.select(*map(named, data.columns), F.expr(_SHARD).alias(free_name(shard, data.columns)))
 
-    def vacuum(self) -> int:
-        """Delete the data files that the newest version does not name; returns how many."""
-        listed = {r.shard for r in self.manifest().select("shard").toLocalIterator()}
-        files = self._fs.listFiles(self._path(f"{self.path}/data"), True)
-        gone = 0
+    def vacuum(self, keep: int = 1, abandoned_s: float = 604_800.0) -> int:
+        """Delete the data files that none of the newest `keep` versions names; returns how many. Files of a write that is
+        under way stay: its folder is pending from before its first file until after its version is published. A pending mark
+        older than abandoned_s seconds is of a writer that died.
+
+        The order matters: files are listed first, then pending folders, then versions. A listed file whose folder is no
+        longer pending then is of a write that had ended, so that the versions read behind it name the file if any does."""
+        found, files = [], self._fs.listFiles(self._path(f"{self.path}/data"), True)
         while files.hasNext():
-            path = files.next().getPath()
+            found.append(files.next().getPath())
+        marks = self._path(f"{self.path}/pending")
+        limit = (time.time() - abandoned_s) * 1000
+        pending = {s.getPath().getName() for s in self._fs.listStatus(marks) if s.getModificationTime() >= limit} if self._fs.exists(marks) else set()
+        newest = self.version()
+        listed = {r.shard for v in range(max(1, newest - keep + 1), newest + 1) for r in self.manifest(v).select("shard").toLocalIterator()}
+        gone = 0
+        for path in found:
             name = str(path.toString()).split("/data/", 1)[1]
-            if name.endswith(".parquet") and name not in listed:
+            if name.endswith(".parquet") and name not in listed and name.split("/")[0] not in pending:
                 gone += bool(self._fs.delete(path, False))
         return gone

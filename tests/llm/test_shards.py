@@ -101,3 +101,35 @@ def test_the_query_keeps_every_row(spark, tmp_path):
     assert sorted((r.doc_id, r.n_chars) for r in out.collect()) == sorted((r.doc_id, len(r.text)) for r in docs.collect())
     docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert op9_tiered_compaction(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("step", ["_shards", "_commit"])
+def test_vacuum_leaves_the_files_of_a_write_under_way(spark, tmp_path, monkeypatch, step):
+    """Another writer vacuums just before each step of an append and of a merge: nothing that is published is lost."""
+    folder, real = str(tmp_path / "s"), getattr(shards.ShardStore, step)
+    rows = spark.range(40).selectExpr("id AS doc_id", "'t' AS text")
+
+    def with_vacuum(self, *args):
+        shards.ShardStore(spark, folder).vacuum()
+        return real(self, *args)
+
+    monkeypatch.setattr(shards.ShardStore, step, with_vacuum)
+    store = shards.ShardStore(spark, folder)
+    for k in range(3):
+        store.append(rows.where(f"doc_id % 3 = {k}"))
+    store.compact(fanin=2)
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(40))
+    assert store.vacuum() > 0 or step == "_commit"
+    assert store.read().count() == 40
+
+
+def test_vacuum_takes_what_a_dead_writer_left(spark, tmp_path, monkeypatch):
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(5).selectExpr("id AS doc_id", "'t' AS text"))
+    with monkeypatch.context() as m:
+        m.setattr(shards.ShardStore, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        m.setattr(shards.ShardStore, "_end", lambda *a: None)
+        with pytest.raises(RuntimeError):
+            store.append(spark.range(5).selectExpr("id AS doc_id", "'u' AS text"))
+    assert store.vacuum() == 0 and store.vacuum(abandoned_s=-60) > 0
+    assert store.read().count() == 5
