@@ -96,3 +96,12 @@ def io4_replace_rows(spark, sf_dir):
     table.replace(s, "memory_id")
     table.replace(s.where("memory_id % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content")), "memory_id")
     return table.read().groupBy("memory_id").agg(F.count("*").alias("n"), F.max(F.length("content")).cast("long").alias("longest"))
+
+
+@plan("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE text END AS text, item_id % 3 = 0 AS flagged FROM benchmark")
+def io5_bench_round_trip(spark, sf_dir):
+    """Benchmark rows written as JSON lines, nulls included, and read back."""
+    rows = view(spark, sf_dir, "benchmark").selectExpr("item_id", "CASE WHEN item_id % 5 = 0 THEN NULL ELSE text END AS text", "item_id % 3 = 0 AS flagged")
+    folder = _folder(spark, "bench")
+    library_io.write_bench(rows, folder)
+    return library_io.read_bench(spark, folder, "item_id long, text string, flagged boolean")
