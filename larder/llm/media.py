@@ -63,12 +63,18 @@ class Value:
     def number(self, at: int, size: int, order: str) -> int:
         return int.from_bytes(self.data[at : at + size], order)
 
-    def next(self, marker: bytes, at: int) -> int:
-        """The first place from `at` on where the marker is, -1 if none."""
-        since, place = self._next.get(marker, (at + 1, -1))
-        if not (since <= at and (place < 0 or at <= place)):
+    def next(self, marker: bytes, at: int, use: str = "") -> int:
+        """The first place from `at` on where the marker is, -1 if none. Uses that look at places of their own order
+        remember apart; bytes that were looked through for one are not looked through again."""
+        since, place = self._next.get((marker, use), (at + 1, None))
+        if place is None or 0 <= place < at:
             place = self.data.find(marker, at)
-            self._next[marker] = at, place
+        elif at < since:
+            before = self.data.find(marker, at, since + len(marker) - 1)
+            place = before if before >= 0 else place
+        else:
+            return place
+        self._next[marker, use] = at, place
         return place
 
     def follow(self, kind: str, at: int, step) -> int:
@@ -175,17 +181,38 @@ def _zip(v, at):
 
 
 def _gzip(v, at):
-    unzip, p = zlib.decompressobj(31), at
-    try:
-        while p < len(v) and not unzip.eof:
-            rest = v.data[p : p + PIECE]
-            p += len(rest)
-            while rest and not unzip.eof:
-                unzip.decompress(rest, 1 << 20)
-                rest = unzip.unconsumed_tail
-    except zlib.error:
+    def member(p):
+        unzip, q, crc, n = zlib.decompressobj(-15), p, 0, 0
+        try:
+            while q < len(v) and not unzip.eof:
+                rest = v.data[q : q + PIECE]
+                q += len(rest)
+                while rest and not unzip.eof:
+                    out = unzip.decompress(rest, 1 << 20)
+                    crc, n = zlib.crc32(out, crc), n + len(out)
+                    rest = unzip.unconsumed_tail
+        except zlib.error:
+            return None, 0
+        end = q - len(unzip.unused_data)
+        return None, end + 8 if unzip.eof and v.data[end : end + 8] == struct.pack("<II", crc, n & 0xFFFFFFFF) else 0
+
+    # the header is read here, as zlib would look for the end of its name anew for each of many headers; headers that
+    # end at one place share what follows
+    if at + 18 > len(v) or (flags := v.data[at + 3]) & 0xE0:
+        return 0
+    p = at + 10
+    if flags & 4:
+        p += 2 + v.number(p, 2, "little")
+    for bit, field in ((8, "gzip name"), (16, "gzip comment")):
+        if flags & bit:
+            p = v.next(b"\0", p, field) + 1
+            if not p:
+                return 0
+    p += flags & 2
+    end = v.follow("gzip", p, member)
+    if end and flags & 2 and zlib.crc32(v.data[at : p - 2]) & 0xFFFF != v.number(p - 2, 2, "little"):
         return 0
-    return p - at - len(unzip.unused_data) if unzip.eof else 0
+    return max(end - at, 0)
 
 
 def _flac(v, at):

@@ -92,6 +92,30 @@ def test_many_magic_bytes_take_time_by_their_length():
     assert time.process_time() - started < 60
 
 
+def test_gzip_headers_take_time_by_their_length():
+    for unit in (b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08abcdef", b"\x1f\x8b\x08\x18abcdef", b"\x1f\x8b\x08\x1c" + b"a" * 6 + b"\xff\xff" + b"\x1f\x8b\x08\x1c" + b"a" * 6 + b"\x01\x01"):
+        for end in (b"", b"\0", b"\0a\0"):
+            started = time.process_time()
+            assert media.sniff(b"x" + unit * (1_000_000 // len(unit)) + end) == []
+            assert time.process_time() - started < 8, unit
+
+
+def test_gzip_header_fields():
+    body = zlib.compress(b"abc" * 99, wbits=-15) + struct.pack("<II", zlib.crc32(b"abc" * 99), 297)
+    fields = {4: b"\x03\0x\0y", 8: b"name\0", 16: b"said\0"}
+    for flags in range(32):
+        head = b"\x1f\x8b\x08" + bytes([flags]) + b"\0" * 6 + b"".join(f for bit, f in fields.items() if flags & bit)
+        data = head + (struct.pack("<H", zlib.crc32(head) & 0xFFFF) if flags & 2 else b"") + body
+        assert gzip.decompress(data) == b"abc" * 99
+        assert media.sniff(b"before" + data + b"\0after") == [(6, len(data), "application/gzip")], flags
+        for wrong in (data[:3] + bytes([flags | 0x20]) + data[4:], data[:-1] + b"\x07", data[:-1]):
+            assert media.sniff(b"before" + wrong) == [], flags
+        if flags & 2:
+            assert media.sniff(head + b"\0\0" + body) == []
+    long = gzip.compress(bytes(5_000_000))
+    assert media.sniff(b"x" + long + b"tail") == [(1, len(long), "application/gzip")]
+
+
 def test_columns_of_our_names_stay(spark):
     df = spark.createDataFrame([(1, png(), "text/plain", "a", "e", "m")], "id int, bytes binary, kind string, actual string, embedded string, media string")
     out = media.sniff_media(df, "bytes", "kind")
