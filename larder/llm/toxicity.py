@@ -5,8 +5,9 @@ term i of the text. The pairwise part learns what additive weights miss: terms t
 harmless alone and not together.
 
 Training takes a documented, bounded sample: at most `sample` labelled ids outside the held out
-fold, the first by a hash of their id, one text of each (of several the one whose hash is least) and of that at
-most `MOST_TERMS` terms. Only their hashed terms reach the driver. Terms are trained if they alone
+fold, the first by a hash of their id, one text of each (of several the one whose hash is least). Spark counts in how
+many of these rows each term is; only terms of `MIN_ROWS` rows and more reach the driver, as no others can be trained,
+and of a row with more than `MOST_TERMS` such terms those of most rows. Terms are trained if they alone
 tell the label apart (a chi-squared level), or if they do so together with another frequent term
 (`_paired`), whether or not they tell anything alone. The level, whether prefixes count, and the number of
 epochs are chosen by cross-validation in FOLDS parts of that sample; the machine is then fitted on all of it. The
@@ -35,11 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.columns import named, packed, unpacked
+from larder.session import staged
 
 BITS = 18
 FACTORS = 4
 SAMPLE = 8_000
-MOST_TERMS = 8_192  # of a sampled row, the least by hash
+MOST_TERMS = 8_192  # of a sampled row, those of most rows; ties by number
 MIN_ROWS = 3  # sampled rows that a hashed term needs, else it stays at zero
 LEVELS = (6.63, 10.83, 20.0)  # chi-squared that a term needs against the label: by chance one in 100, 1,000, 100,000
 FREQUENT = 768  # terms whose pairs are looked at
@@ -296,10 +298,32 @@ def train(rows: Rows | list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Ma
 def _hashed(batches):
     terms = Terms()
     for batch in batches:
-        found = [terms.of(t)[:MOST_TERMS] for t in batch.column("text").to_pylist()]
+        found = [terms.of(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("order"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "order", "terms"])
 
 
+def _trainable(rows: DataFrame) -> DataFrame:
+    """The rows with those of their terms that can be trained; the counts are 2**BITS numbers at most."""
+    counted = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).toArrow()
+    counts = np.zeros(1 << BITS, np.int32)
+    counts[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    seen = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def kept(terms):
+        terms = terms[seen.value[terms] > 0]
+        if len(terms) > MOST_TERMS:
+            terms = np.sort(terms[np.lexsort((terms, -seen.value[terms]))[:MOST_TERMS]])
+        return terms
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            found = pa.array([kept(np.asarray(t.values.to_numpy(zero_copy_only=False), np.int32)) for t in lists], pa.list_(pa.int32()))
+            yield batch.set_column(batch.schema.get_field_index("terms"), "terms", found)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _in_order(got: pa.Table) -> tuple[Rows, np.ndarray]:
     """Rows and labels, by the hash of the text: the order in which rows arrive must not matter; the ids take no part."""
     order = pc.sort_indices(got.select(["order", "toxic"]), [("order", "ascending"), ("toxic", "ascending")]).to_numpy().astype(np.int64)
@@ -321,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     hashed = known.mapInArrow(_hashed, known.select("id", "toxic", "order", F.array().cast("array<int>").alias("terms")).schema)
     # a repeated id counts once, so that no more than `sample` rows are gathered
     rows = hashed.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("order", "terms")).alias("least")).select("toxic", "least.order", "least.terms")
-    return train(*_in_order(rows.toArrow()))
+    return train(*_in_order(_trainable(staged(rows, "toxicity-sample")).toArrow()))
 
 
 def _scored(rows: DataFrame, machine: Machine) -> DataFrame:

@@ -110,6 +110,24 @@ def test_the_sample_is_bounded_in_rows_and_terms(spark, monkeypatch):
     assert len(seen[1]) <= 50
 
 
+def test_long_rows_keep_the_terms_that_many_rows_have(spark, monkeypatch):
+    import hashlib
+
+    import xxhash
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic: seen.append(list(rows)))
+    words = lambda k: " ".join(hashlib.md5(f"{k} {i}".encode()).hexdigest()[:9] for i in range(20_000))
+    ids = [i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"{words(i)} zygote{i} never{i}x") for i in ids] + [(i, "") for i in range(100, 110)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in [*ids, *range(100, 110)]], "doc_id long, toxic int"))
+    starts = {toxicity.HALF + (xxhash.xxh32_intdigest(w) >> (33 - toxicity.BITS)) for w in (b"zygo", b"zygot", b"zygote", b"neve", b"never")}
+    long = [set(r.tolist()) for r in seen[0] if len(r)]
+    assert len(long) == len(ids) and all(starts <= r for r in long)
+    assert max(map(len, long)) <= toxicity.MOST_TERMS and all((r[1:] > r[:-1]).all() for r in seen[0])
+    assert len(seen[0]) == len(ids) + sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(100, 110))
+
+
 def test_columns_of_our_names_stay(spark):
     df = spark.createDataFrame([(1, "a b", "o", "s", "x.y", "t")], "doc_id long, text string, own string, score string, `a.b` string, __text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
