@@ -105,3 +105,16 @@ def io5_bench_round_trip(spark, sf_dir):
     folder = _folder(spark, "bench")
     library_io.write_bench(rows, folder)
     return library_io.read_bench(spark, folder, "item_id long, text string, flagged boolean")
+
+
+_KIND = "CASE doc_id % 3 WHEN 0 THEN 'mp4' WHEN 1 THEN 'JPG' ELSE 'bin' END"
+
+
+@plan(f"""WITH m AS (SELECT DISTINCT sha256(text) AS h, {_KIND} AS e, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text <> '')
+    SELECT h || '.' || e AS name, h AS stated_hash, h AS content_hash, bytes, CASE e WHEN 'mp4' THEN 'video' WHEN 'JPG' THEN 'image' ELSE 'unknown' END AS kind, true AS intact FROM m""")
+def io2_media_round_trip(spark, sf_dir):
+    """Every text stored as a media file under its hash, then the folder read back and every file hashed again."""
+    folder = _folder(spark, "media")
+    media = view(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.expr(_KIND).alias("extension"))
+    library_io.store_media(media, "doc_id", "content", "extension", folder)
+    return library_io.media_inventory(spark, folder)

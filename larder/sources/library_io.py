@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+from uuid import uuid4
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.session import staged
+
 SCHEMAS = {
     "users": "user_id string, email string, tier string, pro_expires_at timestamp",
     "source_items": "item_id string, user_id string, platform string, platform_item_id string, canonical_url string, first_saved_at timestamp, last_saved_at timestamp, save_count bigint",
@@ -33,16 +41,69 @@ def load_jdbc(spark: SparkSession, url: str, name: str, key: str, bounds: tuple[
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, **options).load()
 
 
-def media_inventory(spark: SparkSession, folder: str, pattern: str = "[0-9a-f]*.*") -> DataFrame:
+def _qualified(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _opened(uri: str):
+    """A file system and the path in it."""
+    scheme, rest = uri.split(":", 1)
+    return pafs.FileSystem.from_uri(f"{scheme}://{quote('/' + rest.lstrip('/') if scheme == 'file' else rest[2:])}")
+
+
+def store_media(df: DataFrame, key: str, content: str, extension: str, folder: str) -> DataFrame:
+    """Write each row's content (binary) as the file `<sha256>.<extension>` and return (key, name). A file shows under its
+    name only when it is whole: it is written beside it as a dotfile and renamed, so a task that is lost or run twice
+    does no harm, and equal contents are one file. Rows without content (null or empty) or extension are left out."""
+    rows = df.where((F.octet_length(F.col(content)) > 0) & F.col(extension).isNotNull()).select(F.col(key), F.concat(F.sha2(F.col(content).cast("binary"), 256), F.lit("."), F.col(extension)).alias("name"), F.col(content).cast("binary").alias("__content"))
+    root = _qualified(df.sparkSession, folder)
+
+    def run(batches):
+        fs, to = _opened(root)
+        fs.create_dir(to)
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("__content"), strict=True):
+                if fs.get_file_info(f"{to}/{name}").type != pafs.FileType.NotFound:
+                    continue
+                aside = f"{to}/.{name}.{uuid4().hex}.part"
+                with fs.open_output_stream(aside) as out:
+                    out.write(value.as_buffer())
+                try:
+                    fs.move(aside, f"{to}/{name}")
+                except OSError:  # another task's file of the same content came first
+                    if fs.get_file_info(f"{to}/{name}").type == pafs.FileType.NotFound:
+                        raise
+                    fs.delete_file(aside)
+            yield batch.select([0, 1])
+
+    return staged(rows.mapInArrow(run, rows.select(key, "name").schema), "stored-media")
+
+
+def media_inventory(spark: SparkSession, folder: str, pattern: str = "[0-9a-f]*.*", piece: int = 1 << 20) -> DataFrame:
     """IO2: (name, stated_hash, content_hash, intact, bytes, kind) of files named by their hash; dotfiles and partial
-    downloads don't match the pattern."""
+    downloads don't match the pattern, empty files are no rows. Spark lists the files; tasks hash them in pieces, so a file may have any size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     stated = F.regexp_extract(name, r"^([0-9a-f]{64})\.", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext.isin("mp4", "mov", "webm", "m4v"), "video").when(ext.isin("jpg", "jpeg", "png", "webp"), "image").otherwise("unknown")
-    own = files.select(name.alias("name"), stated.alias("stated_hash"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("bytes"), kind.alias("kind"))
-    return own.where("stated_hash <> ''").withColumn("intact", F.col("stated_hash") == F.col("content_hash"))
+    own = files.select("path", name.alias("name"), stated.alias("stated_hash"), F.col("length").alias("bytes"), kind.alias("kind")).where("stated_hash <> ''")
+
+    def hashed(path: str) -> str:
+        fs, at = _opened(path)
+        found = hashlib.sha256()
+        with fs.open_input_stream(at) as data:
+            while part := data.read(piece):
+                found.update(part)
+        return found.hexdigest()
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("content_hash", pa.array([hashed(p) for p in batch.column("path").to_pylist()], pa.string()))
+
+    found = own.mapInArrow(run, own.withColumn("content_hash", F.lit("")).schema)
+    return found.select("name", "stated_hash", "content_hash", "bytes", "kind").withColumn("intact", F.col("stated_hash") == F.col("content_hash"))
 
 
 def _time(c: Column) -> Column:
@@ -86,8 +147,6 @@ def replace_rows(new: DataFrame, folder: str, key: str = "memory_id", buckets: i
         touched = own.select("bucket").distinct()
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(own.select(key).distinct(), key, "left_anti")
         out = own.unionByName(kept)
-    from larder.session import staged
-
     # the table can't be read and overwritten at once: the rows are written aside first
     staged(out, "replace").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 

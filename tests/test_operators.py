@@ -207,6 +207,21 @@ def test_media_inventory(spark, tmp_path):
     assert got == {"video": (True, 3), "image": (False, 3)}
 
 
+def test_stored_media_come_back(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "a b%20c" / "media"
+    rows = [(1, b"abc", "mp4"), (2, b"abc", "mp4"), (3, b"", "jpg"), (4, bytes(range(256)) * 999, "bin"), (5, None, "mp4"), (6, b"x", None)]
+    df = spark.createDataFrame(rows, "id int, content binary, extension string").repartition(6)
+    for _ in range(2):  # a second run leaves what is there
+        stored = library_io.store_media(df, "id", "content", "extension", str(folder))
+        assert stored.orderBy("id").collect() == [(k, f"{hashlib.sha256(c).hexdigest()}.{e}") for k, c, e in rows[:4] if c]
+    assert len(list(folder.iterdir())) == 2
+    (folder / ("0" * 64 + ".mov")).write_bytes(b"not zero")
+    got = {(r.stated_hash == r.content_hash, r.intact, r.bytes, r.kind) for r in library_io.media_inventory(spark, str(folder), piece=1000).collect()}
+    assert got == {(True, True, 3, "video"), (True, True, 255_744, "unknown"), (False, False, 8, "video")}
+
+
 def test_tags_break_ties_by_first_occurrence(spark):
     s = spark.createDataFrame([(1, 2, "ocr", "zebra apple"), (1, 1, "speech", "mango zebra the an of"), (1, 3, "summary", "mango mango")], "memory_id int, segment_id int, modality string, content string")
     assert [r.tag for r in cards.keyword_tags(s, 3).orderBy("rank").collect()] == ["zebra", "mango", "apple"]
