@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from larder.functions.stem import STOPWORDS, stem
+from larder.session import staged
+
+SCORE = 0.1  # of a cover without a foreign word
 
 
 @F.pandas_udf(StringType())
@@ -30,9 +33,9 @@ def lexemes(df: DataFrame, keys: list[str], text: str, analyzer: str = "simple")
 
 
 def build_index(segments: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """(segment_id, lexeme, positions, tf)."""
-    rows = lexemes(segments, ["segment_id"], "content", analyzer).groupBy("segment_id", "lexeme").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return rows.withColumn("tf", F.size("positions"))
+    """(segment_id, lexeme, positions, tf, first, last), the last two being the first and last position."""
+    rows = lexemes(segments, ["segment_id"], "content", analyzer).groupBy("segment_id", "lexeme").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return rows.select("segment_id", "lexeme", "positions", F.size("positions").alias("tf"), "first", "last")
 
 
 def query_terms(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -46,14 +49,39 @@ def fts_match(queries: DataFrame, index: DataFrame, analyzer: str = "simple") ->
     """(query_id, segment_id) where a segment has all terms of a query. The rarest term of a query opens the
     candidates, and its other terms are then looked up only there, so that a frequent word's postings never meet
     every query that asks for it."""
-    terms = query_terms(queries, analyzer)
-    asked = index.join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
+    return _met(query_terms(queries, analyzer), index, []).select("query_id", "segment_id")
+
+
+def fts_bounds(queries: DataFrame, index: DataFrame, analyzer: str = "simple") -> DataFrame:
+    """S2 with `least` and `most`, between which the rank of S3 lies, from the index without its positions.
+
+    A minimal cover begins with a hit that is the last of its term before any hit inside it, so at most n_terms covers share
+    one hit, and all covers share the hits of the rarest term; each ends at another hit, and the first n_terms - 1 hits
+    end none. A cover reaches from some hit of the term that begins latest to some hit of the one that ends
+    earliest; what lies between and is no hit is noise. The words between all first hits, and those between all last ones, hold a cover.
+    Both bounds are the rank itself where each term has one hit, or there is one term.
+    """
+    met = _met(query_terms(queries, analyzer), index, ["tf", "first", "last"])
+    n, total = F.col("n_terms"), F.col("hits")
+    noise = F.greatest(F.lit(0), F.col("latest_first") - F.col("earliest_last") + 1 - total)
+    covers = F.least(n * F.col("fewest"), total - n + 1)
+    shortest = F.least(F.col("latest_first") - F.col("earliest_first"), F.col("latest_last") - F.col("earliest_last")) + 1 - n
+    least = F.when(n == 1, SCORE * total).otherwise(SCORE / (1 + F.greatest(F.lit(0), shortest)))
+    return met.select("query_id", "segment_id", F.round(least, 9).alias("least"), F.round(SCORE * covers / (1 + noise), 9).alias("most"))
+
+
+def _met(terms: DataFrame, index: DataFrame, heads: list[str]) -> DataFrame:
+    """(query_id, segment_id, n_terms) of the matches, and with `heads` what the bounds are made of."""
+    asked = index.select("segment_id", "lexeme", *heads).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
     frequency = asked.groupBy("lexeme").agg(F.count("*").alias("df"))
     ranked = terms.join(frequency, "lexeme", "left").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "lexeme")))
-    opened = ranked.where("r = 1").join(asked.select("lexeme", "segment_id"), "lexeme").select("query_id", "segment_id", "n_terms")
-    others = opened.join(ranked.where("r > 1").select("query_id", "lexeme"), "query_id").join(asked.select("segment_id", "lexeme"), ["segment_id", "lexeme"])
-    counted = others.groupBy("query_id", "segment_id").agg(F.count("*").alias("n"))
-    return opened.join(counted, ["query_id", "segment_id"], "left").where(F.coalesce("n", F.lit(0)) + 1 == F.col("n_terms")).select("query_id", "segment_id")
+    opened = ranked.where("r = 1").join(asked, "lexeme").select("query_id", "segment_id", "n_terms", *heads)
+    others = opened.select("query_id", "segment_id").join(ranked.where("r > 1").select("query_id", "lexeme"), "query_id").join(asked, ["segment_id", "lexeme"])
+    seen = {"hits": (F.sum, "tf"), "fewest": (F.min, "tf"), "earliest_first": (F.min, "first"), "latest_first": (F.max, "first"), "earliest_last": (F.min, "last"), "latest_last": (F.max, "last")} if heads else {}
+    counted = others.groupBy("query_id", "segment_id").agg(F.count("*").alias("n"), *[f(c).alias(f"__{name}") for name, (f, c) in seen.items()])
+    met = opened.join(counted, ["query_id", "segment_id"], "left").where(F.coalesce("n", F.lit(0)) + 1 == F.col("n_terms"))
+    both = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}  # of the opening term and the others
+    return met.select("query_id", "segment_id", "n_terms", *[both[f](F.col(c), F.col(f"__{name}")).alias(name) for name, (f, c) in seen.items()])
 
 
 def fts_rank(matches: DataFrame, queries: DataFrame, index: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -73,9 +101,24 @@ def fts_rank(matches: DataFrame, queries: DataFrame, index: DataFrame, analyzer:
 
 def fts_branch(queries: DataFrame, segments: DataFrame, index: DataFrame, n: int = 50, analyzer: str = "simple") -> DataFrame:
     """(query_id, memory_id, segment_id, rank, place) of the n best segments of a query among its user's; ties by
-    memory, then segment."""
-    own = segments.select("segment_id", "memory_id", "user_id")
-    met = fts_match(queries, index, analyzer).join(own, "segment_id").join(queries.select("query_id", "user_id"), ["query_id", "user_id"])
-    ranked = fts_rank(met.select("query_id", "segment_id"), queries, index, analyzer).join(own.drop("user_id"), "segment_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "memory_id", "segment_id"))
-    return ranked.withColumn("place", place).where(F.col("place") <= n).select("query_id", "memory_id", "segment_id", "rank", "place")
+    memory, then segment. Positions are read, and ranks taken, only of matches that can be among them (`fts_hopeful`)."""
+    own = segments.select("segment_id", "memory_id")
+    hopeful = fts_hopeful(queries, segments, index, n, analyzer).where("hopeful").select("query_id", "segment_id")
+    ranked = fts_rank(hopeful, queries, index, analyzer).join(own, "segment_id")
+    return _first(ranked, [F.desc("rank"), "memory_id", "segment_id"], n).select("query_id", "memory_id", "segment_id", "rank", "place")
+
+
+def fts_hopeful(queries: DataFrame, segments: DataFrame, index: DataFrame, n: int = 50, analyzer: str = "simple") -> DataFrame:
+    """(query_id, segment_id, least, most, hopeful): the matches of a query among its user's segments. One is hopeless
+    where n others of the query have a greater `least` than its `most`."""
+    own = segments.select("segment_id", "user_id")
+    met = fts_bounds(queries, index, analyzer).join(own, "segment_id").join(queries.select("query_id", "user_id"), ["query_id", "user_id"])
+    met = staged(met.select("query_id", "segment_id", "least", "most"), "fts-matches")
+    bar = _first(met, [F.desc("least")], n).where(F.col("place") == n).select("query_id", F.col("least").alias("bar"))
+    # both ends are rounded to the rank's digits, hence the last one is given away
+    hopeful = F.col("bar").isNull() | (F.col("most") > F.col("bar") - 2e-9)
+    return met.join(bar, "query_id", "left").select("query_id", "segment_id", "least", "most", hopeful.alias("hopeful"))
+
+
+def _first(rows: DataFrame, order: list, n: int) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= n)

@@ -91,7 +91,7 @@ def _tag_queries(spark, sf_dir):
 
 @plan("SELECT doc_id AS segment_id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, CAST(count(*) AS INTEGER) AS tf FROM (SELECT doc_id, pos - 1 AS pos, t[pos] AS lexeme FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))) GROUP BY ALL")
 def s1_build_index(spark, sf_dir):
-    return textindex.build_index(view(spark, sf_dir, "segments_v")).withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+    return textindex.build_index(view(spark, sf_dir, "segments_v")).drop("first", "last").withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
 
 
 @plan()
@@ -118,6 +118,18 @@ def s4_fts_branch(spark, sf_dir):
     return textindex.fts_branch(_queries(spark, sf_dir), seg, _index(seg))
 
 
+@plan(f"""WITH {_MATCH}, heads AS (SELECT segment_id, lexeme, count(*) AS tf, min(pos) AS first, max(pos) AS last FROM toks GROUP BY ALL),
+    b AS (SELECT query_id, segment_id, count(*) AS n, sum(tf) AS hits, min(tf) AS fewest, max(first) - min(last) AS apart, least(max(first) - min(first), max(last) - min(last)) + 1 - count(*) AS shortest FROM match JOIN terms USING (query_id) JOIN heads USING (segment_id, lexeme) GROUP BY ALL),
+    e AS (SELECT query_id, round(CASE WHEN n = 1 THEN 0.1 * hits ELSE 0.1 / CAST(1 + greatest(0, shortest) AS DOUBLE) END, 9) AS least, round(0.1 * least(n * fewest, hits - n + 1) / CAST(1 + greatest(0, apart + 1 - hits) AS DOUBLE), 9) AS most FROM b),
+    c AS (SELECT *, list(least) OVER (PARTITION BY query_id ORDER BY least DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[10] AS bar FROM e)
+    SELECT query_id, count(*) AS matches, count(*) FILTER (WHERE bar IS NULL OR most > bar - 2e-9) AS ranked FROM c GROUP BY query_id""")
+def s4_pruning(spark, sf_dir):
+    """How many matches of a query are ranked for its ten best."""
+    seg = _segments(spark, sf_dir)
+    met = textindex.fts_hopeful(_queries(spark, sf_dir), seg, _index(seg), 10)
+    return met.groupBy("query_id").agg(F.count("*").alias("matches"), F.count_if("hopeful").alias("ranked"))
+
+
 @plan(f"WITH {_Q}, {_TAGS} SELECT * FROM tagb")
 def s5_tag_branch(spark, sf_dir):
     return search.tag_branch(_tag_queries(spark, sf_dir), _tags(spark, sf_dir))
