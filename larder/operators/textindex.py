@@ -52,8 +52,9 @@ def fts_match(queries: DataFrame, index: DataFrame, analyzer: str = "simple") ->
     return _met(query_terms(queries, analyzer), index, []).select("query_id", "segment_id")
 
 
-def fts_bounds(queries: DataFrame, index: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """S2 with `least` and `most`, between which the rank of S3 lies, from the index without its positions.
+def fts_bounds(queries: DataFrame, index: DataFrame, analyzer: str = "simple", owners: DataFrame | None = None) -> DataFrame:
+    """S2 with `least` and `most`, between which the rank of S3 lies, from the index without its positions. With `owners`
+    (segment_id, user_id), a query meets only its user's segments, from its first term on.
 
     A minimal cover begins with a hit that is the last of its term before any hit inside it, so at most n_terms covers share
     one hit, and all covers share the hits of the rarest term; each ends at another hit, and the first n_terms - 1 hits
@@ -61,7 +62,10 @@ def fts_bounds(queries: DataFrame, index: DataFrame, analyzer: str = "simple") -
     earliest; what lies between and is no hit is noise. The words between all first hits, and those between all last ones, hold a cover.
     Both bounds are the rank itself where each term has one hit, or there is one term.
     """
-    met = _met(query_terms(queries, analyzer), index, ["tf", "first", "last"])
+    terms = query_terms(queries, analyzer)
+    if owners is not None:
+        terms = terms.join(queries.select("query_id", "user_id"), "query_id")
+    met = _met(terms, index, ["tf", "first", "last"], owners)
     n, total = F.col("n_terms"), F.col("hits")
     noise = F.greatest(F.lit(0), F.col("latest_first") - F.col("earliest_last") + 1 - total)
     covers = F.least(n * F.col("fewest"), total - n + 1)
@@ -70,12 +74,14 @@ def fts_bounds(queries: DataFrame, index: DataFrame, analyzer: str = "simple") -
     return met.select("query_id", "segment_id", F.round(least, 9).alias("least"), F.round(SCORE * covers / (1 + noise), 9).alias("most"))
 
 
-def _met(terms: DataFrame, index: DataFrame, heads: list[str]) -> DataFrame:
+def _met(terms: DataFrame, index: DataFrame, heads: list[str], owners: DataFrame | None = None) -> DataFrame:
     """(query_id, segment_id, n_terms) of the matches, and with `heads` what the bounds are made of."""
     asked = index.select("segment_id", "lexeme", *heads).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
     frequency = asked.groupBy("lexeme").agg(F.count("*").alias("df"))
     ranked = terms.join(frequency, "lexeme", "left").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "lexeme")))
-    opened = ranked.where("r = 1").join(asked, "lexeme").select("query_id", "segment_id", "n_terms", *heads)
+    first = ranked.where("r = 1")
+    opened = first.join(asked, "lexeme") if owners is None else first.join(asked.join(owners, "segment_id"), ["lexeme", "user_id"])
+    opened = opened.select("query_id", "segment_id", "n_terms", *heads)
     others = opened.select("query_id", "segment_id").join(ranked.where("r > 1").select("query_id", "lexeme"), "query_id").join(asked, ["segment_id", "lexeme"])
     seen = {"hits": (F.sum, "tf"), "fewest": (F.min, "tf"), "earliest_first": (F.min, "first"), "latest_first": (F.max, "first"), "earliest_last": (F.min, "last"), "latest_last": (F.max, "last")} if heads else {}
     counted = others.groupBy("query_id", "segment_id").agg(F.count("*").alias("n"), *[f(c).alias(f"__{name}") for name, (f, c) in seen.items()])
@@ -111,9 +117,7 @@ def fts_branch(queries: DataFrame, segments: DataFrame, index: DataFrame, n: int
 def fts_hopeful(queries: DataFrame, segments: DataFrame, index: DataFrame, n: int = 50, analyzer: str = "simple") -> DataFrame:
     """(query_id, segment_id, least, most, hopeful): the matches of a query among its user's segments. One is hopeless
     where n others of the query have a greater `least` than its `most`."""
-    own = segments.select("segment_id", "user_id")
-    met = fts_bounds(queries, index, analyzer).join(own, "segment_id").join(queries.select("query_id", "user_id"), ["query_id", "user_id"])
-    met = staged(met.select("query_id", "segment_id", "least", "most"), "fts-matches")
+    met = staged(fts_bounds(queries, index, analyzer, segments.select("segment_id", "user_id")), "fts-matches")
     bar = _first(met, [F.desc("least")], n).where(F.col("place") == n).select("query_id", F.col("least").alias("bar"))
     # both ends are rounded to the rank's digits, hence the last one is given away
     hopeful = F.col("bar").isNull() | (F.col("most") > F.col("bar") - 2e-9)

@@ -14,17 +14,20 @@ from larder.session import staged
 
 plan = Plans()
 USERS = 20
+VECTOR_DIM = 256
 
-_Q = f"""qs AS (SELECT item_id * {USERS} + u AS query_id, item_id, 'src' || CAST(u AS VARCHAR) AS user_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:4], ' ') AS q FROM (SELECT *, unnest(range({USERS})) AS u FROM benchmark)),
+_QS = f"""qs AS (SELECT item_id * {USERS} + u AS query_id, item_id, 'src' || CAST(u AS VARCHAR) AS user_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:4], ' ') AS q FROM (SELECT *, unnest(range({USERS})) AS u FROM benchmark))"""
+_Q = f"""{_QS},
     shown AS (SELECT memory_id, user_id FROM memories_v WHERE status IN ('READY', 'METADATA_ONLY')),
     seg AS (SELECT s.* EXCLUDE (user_id), m.user_id FROM segments_v s JOIN shown m USING (memory_id)),
     toks AS (SELECT segment_id, CAST(pos - 1 AS INTEGER) AS pos, t[pos] AS lexeme FROM (SELECT segment_id, t, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT segment_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM seg))),
     terms AS (SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, unnest(string_split(q, ' ')) AS lexeme FROM qs WHERE q <> ''))"""
 _MATCH = f"""{_Q}, match AS (SELECT t.query_id, k.segment_id FROM terms t JOIN (SELECT DISTINCT segment_id, lexeme FROM toks) k USING (lexeme) JOIN seg USING (segment_id) JOIN qs ON qs.query_id = t.query_id AND qs.user_id = seg.user_id GROUP BY t.query_id, k.segment_id HAVING count(*) = max(n_terms))"""
-_RANK = f"""{_MATCH}, o AS (SELECT m.query_id, m.segment_id, k.pos, k.lexeme FROM match m JOIN terms t USING (query_id) JOIN toks k ON k.segment_id = m.segment_id AND k.lexeme = t.lexeme),
+_COVERS = """o AS (SELECT m.query_id, m.segment_id, k.pos, k.lexeme FROM match m JOIN terms t USING (query_id) JOIN toks k ON k.segment_id = m.segment_id AND k.lexeme = t.lexeme),
     l AS (SELECT query_id, segment_id, e, min(lp) AS b, count(*) AS k FROM (SELECT e.query_id, e.segment_id, e.pos AS e, p.lexeme, max(p.pos) AS lp FROM o e JOIN o p ON p.query_id = e.query_id AND p.segment_id = e.segment_id AND p.pos <= e.pos GROUP BY ALL) GROUP BY query_id, segment_id, e),
     c AS (SELECT query_id, segment_id, b, min(e) AS e FROM l WHERE k = (SELECT max(n_terms) FROM terms t WHERE t.query_id = l.query_id) GROUP BY query_id, segment_id, b),
-    ranks AS (SELECT query_id, segment_id, round(sum(0.1 / (1 + (e - b) - ((SELECT count(*) FROM o WHERE o.query_id = c.query_id AND o.segment_id = c.segment_id AND o.pos BETWEEN c.b AND c.e) - 1))), 9) AS rank FROM c GROUP BY query_id, segment_id),
+    ranks AS (SELECT query_id, segment_id, round(sum(0.1 / (1 + (e - b) - ((SELECT count(*) FROM o WHERE o.query_id = c.query_id AND o.segment_id = c.segment_id AND o.pos BETWEEN c.b AND c.e) - 1))), 9) AS rank FROM c GROUP BY query_id, segment_id)"""
+_RANK = f"""{_MATCH}, {_COVERS},
     fts AS (SELECT query_id, memory_id, segment_id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, memory_id, segment_id) AS INTEGER) AS place FROM ranks JOIN seg USING (segment_id) QUALIFY place <= 50)"""
 _TAGS = """tq AS (SELECT query_id, user_id, string_split(q, ' ')[1] AS q FROM qs WHERE q <> ''),
     tags AS (SELECT DISTINCT t.memory_id, m.user_id, t.tag FROM tags_v t JOIN shown m USING (memory_id)),
@@ -46,6 +49,36 @@ _EVIDENCE = f"""{_FUSED},
         FROM top LEFT JOIN t1 USING (query_id, memory_id) LEFT JOIN v1 USING (query_id, memory_id) LEFT JOIN g1 USING (query_id, memory_id))"""
 
 
+# s11: whole texts and first words in place of the four words, which the tag branch then asks too, and a branch by hashed vectors
+_QS_WHOLE = f"""qs AS (SELECT 2 * (item_id * {USERS} + u) + short AS query_id, item_id, 'src' || CAST(u AS VARCHAR) AS user_id, CASE short WHEN 0 THEN coalesce(text, '') ELSE coalesce(regexp_extract(lower(text), '[a-z0-9]+'), '') END AS q FROM (SELECT *, unnest(range({USERS})) AS u FROM benchmark), (VALUES (0), (1)) w(short))"""
+# the same covers with each term's last hit by a window, as one word in a long text has too many hits to pair
+_COVERS_WHOLE = """o AS (SELECT m.query_id, m.segment_id, k.lexeme, {'i': row_number() OVER (PARTITION BY m.query_id, m.segment_id ORDER BY k.pos), 'pos': k.pos} AS h FROM match m JOIN terms t USING (query_id) JOIN toks k ON k.segment_id = m.segment_id AND k.lexeme = t.lexeme),
+    l AS (SELECT query_id, segment_id, e, min(lp) AS b, count(lp) AS k FROM (SELECT o.query_id, o.segment_id, o.h AS e, max(CASE WHEN o.lexeme = t.lexeme THEN o.h END) OVER (PARTITION BY o.query_id, o.segment_id, t.lexeme ORDER BY o.h.i) AS lp FROM o JOIN terms t USING (query_id)) GROUP BY ALL),
+    c AS (SELECT query_id, segment_id, b, min(e) AS e FROM l JOIN (SELECT DISTINCT query_id, n_terms FROM terms) USING (query_id) WHERE k = n_terms GROUP BY ALL),
+    ranks AS (SELECT query_id, segment_id, round(sum(0.1 / (1 + (e.pos - b.pos) - (e.i - b.i))), 9) AS rank FROM c GROUP BY ALL)"""
+_HASHED = f"""texts AS (SELECT row_number() OVER () AS text_id, t FROM (SELECT DISTINCT q AS t FROM qs UNION SELECT content FROM seg)),
+    chars AS (SELECT text_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM (SELECT text_id, string_split(lower(' ' || t || ' '), '') AS c FROM texts)),
+    pieces AS (SELECT text_id, c || lead(c) OVER w || lead(c, 2) OVER w AS g3, lead(c, 3) OVER w AS c4, lead(c, 4) OVER w AS c5 FROM chars WINDOW w AS (PARTITION BY text_id ORDER BY i)),
+    gram AS (SELECT text_id, g, count(*) AS n FROM (SELECT text_id, g3 AS g FROM pieces UNION ALL SELECT text_id, g3 || c4 FROM pieces UNION ALL SELECT text_id, g3 || c4 || c5 FROM pieces) WHERE g IS NOT NULL GROUP BY ALL),
+    place_of AS (SELECT g, CAST(('0x' || md5(g))::UHUGEINT % {VECTOR_DIM} AS BIGINT) AS b FROM (SELECT DISTINCT g FROM gram)),
+    bucket AS (SELECT text_id, b, sum(n) AS n FROM gram JOIN place_of USING (g) GROUP BY ALL),
+    weight AS (SELECT text_id, b, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY text_id)) AS FLOAT) AS w FROM bucket),
+    vec AS (SELECT t, list(CAST(coalesce(w, 0) AS DOUBLE) ORDER BY d.b) AS v FROM (SELECT DISTINCT text_id FROM weight) JOIN texts USING (text_id) CROSS JOIN (SELECT unnest(range({VECTOR_DIM})) AS b) d LEFT JOIN weight USING (text_id, b) GROUP BY t),
+    vdist AS (SELECT query_id, segment_id, memory_id, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM qs JOIN vec a ON a.t = qs.q JOIN seg ON seg.user_id = qs.user_id JOIN vec b ON b.t = seg.content),
+    vecb AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, segment_id) AS INTEGER) AS place FROM vdist QUALIFY place <= 50)"""
+
+
+def _hybrid_sql() -> str:
+    """s9's SQL with the vector branch in its place, second of the texts that show evidence."""
+    sql = _EVIDENCE.replace(_QS, _QS_WHOLE).replace(_COVERS, _COVERS_WHOLE)
+    sql = sql.replace("unnest(string_split(q, ' ')) AS lexeme FROM qs WHERE q <> ''", "unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS lexeme FROM qs")
+    sql = sql.replace("tq AS (SELECT query_id, user_id, string_split(q, ' ')[1] AS q FROM", "tq AS (SELECT query_id, user_id, q FROM")
+    sql = sql.replace("br AS (SELECT", f"{_HASHED}, br AS (SELECT").replace(" UNION ALL SELECT 2, query_id", " UNION ALL SELECT 4, query_id, memory_id, min(place) FROM vecb GROUP BY ALL UNION ALL SELECT 2, query_id")
+    first = "arg_min(f.segment_id, f.place) AS segment_id FROM fts f GROUP BY ALL"
+    both = "min({'branch': branch, 'place': place, 'segment_id': segment_id}).segment_id AS segment_id FROM (SELECT 0 AS branch, query_id, memory_id, place, segment_id FROM fts UNION ALL SELECT 1, query_id, memory_id, place, segment_id FROM vecb) f GROUP BY ALL"
+    return f"WITH {sql.replace(first, both)} SELECT *, false AS degraded FROM shownhits"
+
+
 def _queries(spark, sf_dir):
     b = view(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(USERS - 1))).alias("u"))
     q = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 4), " ")
@@ -175,15 +208,15 @@ def s10_assemble_hits(spark, sf_dir):
     return search.assemble_hits(s8_rrf(spark, sf_dir), m, items).select("query_id", "memory_id", "place", "platform", "source_status", "status", "display_title")
 
 
-@plan()
+@plan(_hybrid_sql())
 def s11_hybrid_search(spark, sf_dir):
     """All four branches: text and vectors of segments, tags, frames. Every user asks each item twice: as its whole
     text (even ids), and as its first word (odd ids), as tags are words."""
     q, seg = _whole_queries(spark, sf_dir), view(spark, sf_dir, "segments_v")
     index = _index(_segments(spark, sf_dir))
     # vectors are stored tables too: embedded once, then read by the branch and by its joins
-    seg = seg.join(staged(embed.hash_embed(seg, "segment_id", "content", 256), "segment-vectors"), "segment_id")
-    q = staged(q.join(embed.hash_embed(q, "query_id", "q", 256), "query_id"), "query-vectors")
+    seg = seg.join(staged(embed.hash_embed(seg, "segment_id", "content", VECTOR_DIM), "segment-vectors"), "segment_id")
+    q = staged(q.join(embed.hash_embed(q, "query_id", "q", VECTOR_DIM), "query_id"), "query-vectors")
     hits = search.hybrid_search(q, view(spark, sf_dir, "memories_v"), seg, view(spark, sf_dir, "tags_v"), view(spark, sf_dir, "frames_v"), index)
     return _flat(hits)
 
