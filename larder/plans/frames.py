@@ -38,7 +38,8 @@ def e3_check_vectors(spark, sf_dir):
 @plan("""SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6)) AS unit FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)""")
 def e4_l2_normalize(spark, sf_dir):
     u = embed.l2_normalize(view(spark, sf_dir, "embeddings"), "embedding", "unit")
-    return u.select("vec_id", F.transform("unit", lambda x: F.round(x, 6)).alias("unit"))
+    # rounded as SQL rounds: what is less than zero stays so by its sign
+    return u.select("vec_id", F.transform("unit", lambda x: F.abs(F.round(x, 6)) * F.signum(x)).alias("unit"))
 
 
 _MEDIA = "SELECT event_id AS media_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE cast(event_id % 700 AS double) / 4 END AS duration_s FROM events"
