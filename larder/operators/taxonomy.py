@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 FIELD_WEIGHTS = {"title": 6.0, "caption": 4.0, "creator": 2.0, "tags": 3.0, "ocr": 2.3, "speech": 1.5, "article": 2.0, "summary": 1.0, "visual": 1.8}
 FACTORS = {"strong": 2.0, "phrase": 1.1, "keyword": 0.7}
 TERM_BYTES = 8 << 20  # of terms that one automaton holds: what a task keeps, and what the driver sends at once
+SLICE = 256  # texts that a task turns into Python objects at once
 RULES_SCHEMA = "rule int, path array<string>, strong array<string>, keywords array<string>, min_score double, fallback boolean"
 
 
@@ -130,9 +131,9 @@ def _field_hits(fields: DataFrame, terms: list) -> DataFrame:
 
     def run(batches):
         match = _matcher(told.value)
-        for batch in batches:
+        for part in (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE)):
             ids, rules, sums = [], [], []
-            for i, text, weight in zip(*(batch.column(n).to_pylist() for n in range(3))):
+            for i, text, weight in zip(*(part.column(n).to_pylist() for n in range(3))):
                 hits = match(text) or {None: 0.0}
                 ids += [i] * len(hits)
                 rules += hits.keys()
