@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from larder.session import staged
 
+TASK_FILES = 2_000  # files that a task writes
+
 SCHEMAS = {
     "users": "user_id string, email string, tier string, pro_expires_at timestamp",
     "source_items": "item_id string, user_id string, platform string, platform_item_id string, canonical_url string, first_saved_at timestamp, last_saved_at timestamp, save_count bigint",
@@ -55,16 +57,23 @@ def _opened(uri: str):
 def store_media(df: DataFrame, key: str, content: str, extension: str, folder: str) -> DataFrame:
     """Write each row's content (binary) as the file `<sha256>.<extension>` and return (key, name). A file shows under its
     name only when it is whole: it is written beside it as a dotfile and renamed, so a task that is lost or run twice
-    does no harm, and equal contents are one file. Rows without content (null or empty) or extension are left out."""
+    does no harm, and equal contents are one file. Files lie in a folder for each first two digits of the hash, as
+    writers in one folder wait for each other; a task writes about TASK_FILES of them. Rows without content (null or empty) or extension are left out."""
     rows = df.where((F.octet_length(F.col(content)) > 0) & F.col(extension).isNotNull()).select(F.col(key), F.concat(F.sha2(F.col(content).cast("binary"), 256), F.lit("."), F.col(extension)).alias("name"), F.col(content).cast("binary").alias("__content"))
     root = _qualified(df.sparkSession, folder)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_FILES))
 
     def run(batches):
-        fs, to = _opened(root)
-        fs.create_dir(to)
+        fs, base = _opened(root)
+        made = set()
         for batch in batches:
             for name, value in zip(batch.column("name").to_pylist(), batch.column("__content"), strict=True):
-                if fs.get_file_info(f"{to}/{name}").type != pafs.FileType.NotFound:
+                to = f"{base}/{name[:2]}"
+                if to not in made:
+                    fs.create_dir(to)
+                    made.add(to)
+                # earlier versions stored files in the folder itself
+                if any(f.type != pafs.FileType.NotFound for f in fs.get_file_info([f"{to}/{name}", f"{base}/{name}"])):
                     continue
                 aside = f"{to}/.{name}.{uuid4().hex}.part"
                 with fs.open_output_stream(aside) as out:
@@ -77,13 +86,18 @@ def store_media(df: DataFrame, key: str, content: str, extension: str, folder: s
                     fs.delete_file(aside)
             yield batch.select([0, 1])
 
-    return staged(rows.mapInArrow(run, rows.select(key, "name").schema), "stored-media")
+    # equal contents meet in one task; a task's folders are few
+    dealt = rows.repartition(tasks, "name")
+    return staged(dealt.mapInArrow(run, rows.select(key, "name").schema), "stored-media")
 
 
 def media_inventory(spark: SparkSession, folder: str, pattern: str = "[0-9a-f]*.*", piece: int = 1 << 20) -> DataFrame:
     """IO2: (name, stated_hash, content_hash, intact, bytes, kind) of files named by their hash; dotfiles and partial
     downloads don't match the pattern, empty files are no rows. Spark lists the files; tasks hash them in pieces, so a file may have any size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    # Spark deals a task some 32 small files, less work than it takes to start one
+    parts = files._jdf.rdd().getNumPartitions()
+    files = files.coalesce(max(spark.sparkContext.defaultParallelism, -(-parts // 32)))
     name = F.element_at(F.split("path", "/"), -1)
     stated = F.regexp_extract(name, r"^([0-9a-f]{64})\.", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
