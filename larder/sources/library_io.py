@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from itertools import islice
 from urllib.parse import quote
 from uuid import uuid4
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from larder.session import staged
 
 TASK_FILES = 2_000  # files that a task writes
+READ_FILES = 1_000  # files that a task reads
+LISTED = 10_000  # names that a listing task sends at once
 
 SCHEMAS = {
     "users": "user_id string, email string, tier string, pro_expires_at timestamp",
@@ -61,6 +65,8 @@ def store_media(df: DataFrame, key: str, content: str, extension: str, folder: s
     writers in one folder wait for each other; a task writes about TASK_FILES of them. Rows without content (null or empty) or extension are left out."""
     rows = df.where((F.octet_length(F.col(content)) > 0) & F.col(extension).isNotNull()).select(F.col(key), F.concat(F.sha2(F.col(content).cast("binary"), 256), F.lit("."), F.col(extension)).alias("name"), F.col(content).cast("binary").alias("__content"))
     root = _qualified(df.sparkSession, folder)
+    fs, base = _opened(root)
+    fs.create_dir(base)  # also where nothing is stored
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_FILES))
 
     def run(batches):
@@ -91,18 +97,68 @@ def store_media(df: DataFrame, key: str, content: str, extension: str, folder: s
     return staged(dealt.mapInArrow(run, rows.select(key, "name").schema), "stored-media")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers skip."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith("_metadata")) or name.endswith("._COPYING_")
+
+
+def _base_name(info: pafs.FileInfo) -> str:
+    try:
+        return info.base_name
+    except UnicodeDecodeError:  # skipped as hidden: no name of a stored file
+        return "."
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes) of the files in and beneath a folder, or all that a glob names. Tasks list the folders, level by
+    level, into stored tables: the driver learns how many there are, not which."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    roots = [where] if store.exists(where) else [s.getPath() for s in store.globStatus(where) or ()]
+    if not roots:
+        raise FileNotFoundError(f"Path does not exist: {folder}")
+    schema = pa.schema({"path": pa.string(), "bytes": pa.int64(), "folder": pa.bool_()})
+
+    def entries(path: str):
+        fs, at = _opened(path)
+        own = fs.get_file_info(at)
+        if own.type == pafs.FileType.File:
+            if not _hidden(own.base_name):
+                yield {"path": path, "bytes": own.size, "folder": False}
+            return
+        for f in fs.get_file_info(pafs.FileSelector(at)):
+            name = _base_name(f)
+            if f.type in (pafs.FileType.File, pafs.FileType.Directory) and not _hidden(name):
+                yield {"path": f"{path.rstrip('/')}/{name}", "bytes": f.size, "folder": f.type == pafs.FileType.Directory}
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                left = entries(path)
+                while some := list(islice(left, LISTED)):
+                    yield pa.RecordBatch.from_pylist(some, schema)
+
+    folders, files = spark.createDataFrame([(store.makeQualified(r).toString(),) for r in roots], "path string"), []
+    while not folders.isEmpty():
+        found = folders.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, bytes long, folder boolean")
+        found = staged(found, "listed-media", "zstd")
+        files.append(found.where("NOT folder").select("path", "bytes"))
+        folders = found.where("folder").select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
 def media_inventory(spark: SparkSession, folder: str, pattern: str = "[0-9a-f]*.*", piece: int = 1 << 20) -> DataFrame:
     """IO2: (name, stated_hash, content_hash, intact, bytes, kind) of files named by their hash; dotfiles and partial
-    downloads don't match the pattern, empty files are no rows. Spark lists the files; tasks hash them in pieces, so a file may have any size."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    # Spark deals a task some 32 small files, less work than it takes to start one
-    parts = files._jdf.rdd().getNumPartitions()
-    files = files.coalesce(max(spark.sparkContext.defaultParallelism, -(-parts // 32)))
+    downloads don't match the pattern, empty files are no rows. Tasks list the folders, one task each, and hash about
+    READ_FILES files each, in pieces, so a file may have any size."""
+    regex = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
     name = F.element_at(F.split("path", "/"), -1)
+    files = _listed(spark, folder).where(name.rlike(rf"\A(?s:{regex})\z") & name.rlike(r"^[0-9a-f]{64}\.") & (F.col("bytes") > 0))
+    files = files.repartition(max(spark.sparkContext.defaultParallelism, -(-files.count() // READ_FILES)))
     stated = F.regexp_extract(name, r"^([0-9a-f]{64})\.", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext.isin("mp4", "mov", "webm", "m4v"), "video").when(ext.isin("jpg", "jpeg", "png", "webp"), "image").otherwise("unknown")
-    own = files.select("path", name.alias("name"), stated.alias("stated_hash"), F.col("length").alias("bytes"), kind.alias("kind")).where("stated_hash <> ''")
+    own = files.select("path", name.alias("name"), stated.alias("stated_hash"), "bytes", kind.alias("kind"))
 
     def hashed(path: str) -> str:
         fs, at = _opened(path)
