@@ -154,7 +154,7 @@ def media_inventory(spark: SparkSession, folder: str, pattern: str = "[0-9a-f]*.
     regex = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
     name = F.element_at(F.split("path", "/"), -1)
     files = _listed(spark, folder).where(name.rlike(rf"\A(?s:{regex})\z") & name.rlike(r"^[0-9a-f]{64}\.") & (F.col("bytes") > 0))
-    files = files.repartition(max(spark.sparkContext.defaultParallelism, -(-files.count() // READ_FILES)))
+    files = files.repartition(max(spark.sparkContext.defaultParallelism, -(-files.count() // READ_FILES)), "path")
     stated = F.regexp_extract(name, r"^([0-9a-f]{64})\.", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext.isin("mp4", "mov", "webm", "m4v"), "video").when(ext.isin("jpg", "jpeg", "png", "webp"), "image").otherwise("unknown")
